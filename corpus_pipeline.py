@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsieve.llm import decontaminate, mixing, quality
+from logsieve.llm import decontaminate, minhash, mixing, quality, tokenids
 from logsieve.llm.common import materialize
 
 
@@ -17,6 +17,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document with the least id stays."""
+    return minhash.keep_first(docs, minhash.Near(words=5, percent=80))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of a benchmark item go."""
     return decontaminate.drop_documents(docs, _table(spark, sf_dir, "benchmark"))
@@ -27,10 +32,17 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return mixing.curriculum(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as token ids in binary shards; a row for each sequence."""
+    return tokenids.write_shards(docs)
+
+
 STAGES = [
     ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing sources to target weights", mixing_to_weights),
+    ("token-ID / binary output", token_ids),
 ]
 
 #: The classifier, MinHash and the permutation have no SQL form; see tests/llm.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, secrets, toxicity
+from . import decontaminate, media, minhash, mixing, quality, reclm, secrets, tokenids, toxicity
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words of a shingle and least similarity in percent of op5.
+NEAR = minhash.Near(words=3, percent=85)
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.report(documents(spark, sf_dir))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
@@ -20,10 +28,22 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reclm.report(documents(spark, sf_dir))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(documents(spark, sf_dir), NEAR)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -36,9 +56,13 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            op1_token_ids,
             op2_decontaminate,
             op3_secrets,
+            op4_recurrent_lm,
+            op5_minhash,
             op6_mixing,
+            op8_media,
             op9_quality,
             op10_toxicity,
         )
