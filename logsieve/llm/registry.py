@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, minhash, mixing, quality, reclm, secrets, tokenids, toxicity
+from . import decontaminate, media, minhash, mixing, quality, reclm, secrets, suffixes, tokenids, toxicity
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(documents(spark, sf_dir))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def queries() -> dict:
             op4_recurrent_lm,
             op5_minhash,
             op6_mixing,
+            op7_suffix_dedup,
             op8_media,
             op9_quality,
             op10_toxicity,
