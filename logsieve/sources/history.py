@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import trim
 
@@ -117,8 +116,7 @@ def read_allowlist(spark: SparkSession, path: str) -> list[str]:
     return patterns
 
 
-_REMOVAL = T.StructType.fromDDL("line bigint, reason string, command string")
-RUN = T.StructType.fromDDL(
+RUN = (
     "timestamp string, dry_run boolean,"
     " settings struct<similarity: double, rare_threshold: double, remove_rare: boolean>,"
     " total_lines bigint, removed_count bigint, reason_counts map<string, bigint>,"
