@@ -21,8 +21,15 @@ def damerau(a: str, b: str) -> int:
     """
     if a == b:
         return 0
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    # what both begin and end with costs nothing
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    a, b = a[low:], b[low:]
+    high = 0
+    while high < min(len(a), len(b)) and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[: len(a) - high], b[: len(b) - high]
     n, m = len(a), len(b)
     if not n or not m:
         return n + m
