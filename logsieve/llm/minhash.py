@@ -41,7 +41,8 @@ from .components import components
 from .ftrl import mix
 
 HASHES, BITS = 192, 2
-SMALL = 16
+#: Lists of at most so many classes are compared pair by pair.
+SMALL = 32
 _PLANE = HASHES // 64
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -161,7 +162,6 @@ class _Resolver:
 
     def __init__(self, near: Near, planes: DataFrame, sets: DataFrame):
         self.near, self.planes, self.sets = near, planes, sets
-        self.edges: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
     def labelled(self, lists: DataFrame) -> DataFrame:
@@ -185,28 +185,28 @@ class _Resolver:
             .select("a", "b")
         )
         close = materialize(close, "candidates")
+        if close.isEmpty():
+            return
         both = (
             close.join(self.sets.select(F.col("v").alias("a"), F.col("items").alias("x")), "a")
             .join(self.sets.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
             .withColumn("common", F.size(F.array_intersect("x", "y")))
         )
         union = F.size("x") + F.size("y") - F.col("common")
-        self.edges.append(
-            materialize(
-                both.where(100 * F.col("common") >= near.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")),
-                "links",
-            )
+        links = materialize(
+            both.where(100 * F.col("common") >= near.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")),
+            "links",
         )
-        # the components so far stand for the links so far
-        known = [self.labels] if self.labels is not None else []
-        self.labels = components(reduce(DataFrame.unionByName, [*known, self.edges[-1]]))
+        if not links.isEmpty():
+            # the components so far stand for the links so far
+            self.labels = components(links if self.labels is None else links.unionByName(self.labels))
 
     def run(self, lists: DataFrame, rounds: int | None) -> DataFrame:
         """Lists that are still open after so many rounds (None: until none is)."""
-        chance, step, done = 0, 0, 0
+        step = 0
         while True:
             lists = materialize(self.labelled(lists), "lists")
-            if lists.isEmpty() or (rounds is not None and done > rounds):
+            if lists.isEmpty() or step == rounds:
                 return lists
             if step == 0:
                 hubs = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("hub"))
@@ -218,8 +218,8 @@ class _Resolver:
                 other = few.select("key", F.col("v").alias("b"), F.col("label").alias("other"))
                 pairs = few.join(other, "key").where("v < b and label <> other").select(F.col("v").alias("a"), "b")
                 many = lists.where(F.col("m") > SMALL)
-                # each round four times as many hubs, the same ones in every list that holds them
-                chance = 4**step
+                # each round sixteen times as many hubs, the same ones in every list that holds them
+                chance = 16**step
                 draw = F.pmod(F.xxhash64("v", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
                 least = many.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "v")).alias("first"))
                 chosen = many.join(least, "key").where((draw < chance / F.col("m")) | (F.col("v") == F.col("first.v")))
@@ -227,7 +227,7 @@ class _Resolver:
                 star = many.join(hubs, "key").where("label <> other").select(F.col("v").alias("a"), "b")
                 self.link(pairs.unionByName(star))
                 lists = many.drop("m", "label").join(hubs.select("key", F.col("b").alias("v")), ["key", "v"], "left_anti")
-            step, done = step + 1, done + 1
+            step += 1
 
 
 def _prefix_lists(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
