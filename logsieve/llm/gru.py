@@ -105,90 +105,115 @@ class Windows:
 
 
 def run_window(p, proj, w: Windows, at: int, to: int, h: np.ndarray, keep: bool):
-    """States after each step, and what the backward pass needs."""
+    """States after each step, and what the backward pass needs.
+
+    Arrays are laid out (hidden, lanes), so that each gate is a block of long rows.
+    """
     H, steps, n0 = HIDDEN, to - at, int(w.active[at])
-    states = np.zeros((steps, n0, H), dtype=np.float32)
+    states = np.zeros((steps, H, n0), dtype=np.float32)
     kept = []
-    u_zr, u_n = p["u"][:, : 2 * H], p["u"][:, 2 * H :]
-    h = h[:n0]
+    u_zr, u_n = p["u"][:, : 2 * H].T.copy(), p["u"][:, 2 * H :].T.copy()
+    h = h[:, :n0]
     for t in range(steps):
         n = int(w.active[at + t])
-        h = h[:n]
+        if n < h.shape[1]:
+            h = np.ascontiguousarray(h[:, :n])
         reset = w.resets[at + t, :n]
         if reset.any():
-            h = np.where(reset[:, None], np.float32(0), h)
-        x = proj[w.inputs[at + t, :n]]
-        zr = x[:, : 2 * H]
-        zr += h @ u_zr
+            h = h.copy()
+            h[:, reset] = 0
+        x = proj.take(w.inputs[at + t, :n], axis=1)
+        zr = u_zr @ h
+        zr += x[: 2 * H]
         zr = _sigmoid(zr)
-        z, r = zr[:, :H], zr[:, H:]
-        hn = h @ u_n
-        c = x[:, 2 * H :]
-        c += r * hn
+        z, r = zr[:H], zr[H:]
+        hn = u_n @ h
+        c = r * hn
+        c += x[2 * H :]
         np.tanh(c, out=c)
-        new = c + z * (h - c)
-        states[t, :n] = new
+        new = h - c
+        new *= z
+        new += c
+        states[t, :, :n] = new
         if keep:
             kept.append((h, z, r, hn, c, reset))
         h = new
     return states, kept, h
 
 
+_ONES = np.ones(max(CLASSES, WIDE), dtype=np.float32)
+
+
+def _bound(scores: np.ndarray) -> None:
+    """Bring scores into the range of exp: as a whole, or row by row where they spread too far."""
+    high = scores.max(initial=0)
+    if high - scores.min(initial=0) > 60:
+        scores -= scores.max(axis=1, keepdims=True)
+    elif high > 20:
+        scores -= high
+
+
+#: Each token's class.
+_GROUP = np.concatenate([np.arange(HEAD) // WIDE, np.arange(TAILS) + GROUPS]).astype(np.int16)
+
+
 def output(p, h: np.ndarray, y: np.ndarray, grad: bool):
     """log P of targets' class, and of head words within it; gradients on demand.
 
     h: rows of states; y: their token ids. Tail tokens have only the class's part.
+    Rows are put in the order of their classes first, so that each class is a slice.
     """
-    group = np.where(y < HEAD, y // WIDE, y - HEAD + GROUPS)
+    order = np.argsort(_GROUP[y], kind="stable")
+    h, y = h[order], y[order]
+    group = _GROUP[y]
+    rows = np.arange(len(y))
     scores = h @ p["wc"]
     scores += p["bc"]
-    scores -= scores.max(axis=1, keepdims=True)
-    rows = np.arange(len(y))
+    _bound(scores)
     picked = scores[rows, group]
     np.exp(scores, out=scores)
-    total = scores.sum(axis=1)
+    total = scores @ _ONES[:CLASSES]
     logs = picked - np.log(total)
     g = {}
     if grad:
-        scores /= total[:, None]
+        scores *= np.reciprocal(total)[:, None]
         scores[rows, group] -= 1
-        g["wc"], g["bc"] = h.T @ scores, scores.sum(axis=0)
+        g["wc"], g["bc"] = h.T @ scores, _ONES[:1].repeat(len(y)) @ scores
         dh = scores @ p["wc"].T
         g["wo"], g["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for k in range(GROUPS):
-        mine = order[cuts[k] : cuts[k + 1]]
-        if not len(mine):
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if low == high:
             continue
-        hk, local = h[mine], y[mine] - k * WIDE
+        hk, local, r = h[low:high], y[low:high] - k * WIDE, rows[: high - low]
         inner = hk @ p["wo"][k]
         inner += p["bo"][k]
-        inner -= inner.max(axis=1, keepdims=True)
-        r = np.arange(len(mine))
+        _bound(inner)
         got = inner[r, local]
         np.exp(inner, out=inner)
-        s = inner.sum(axis=1)
-        logs[mine] += got - np.log(s)
+        s = inner @ _ONES[:WIDE]
+        logs[low:high] += got - np.log(s)
         if grad:
-            inner /= s[:, None]
+            inner *= np.reciprocal(s)[:, None]
             inner[r, local] -= 1
             g["wo"][k], g["bo"][k] = hk.T @ inner, inner.sum(axis=0)
-            dh[mine] += inner @ p["wo"][k].T
-    return (logs, dh, g) if grad else (logs, None, None)
+            dh[low:high] += inner @ p["wo"][k].T
+    back = np.empty_like(order)
+    back[order] = rows
+    return (logs[back], dh[back], g) if grad else (logs[back], None, None)
 
 
 def score(flat: np.ndarray, texts: list[np.ndarray], wide: int = 512) -> np.ndarray:
     """Natural log-likelihood of each text (tail words up to their class)."""
     p, w = views(flat), Windows(texts, wide)
-    proj = p["e"] @ p["wx"] + p["b"]
+    proj = np.ascontiguousarray((p["e"] @ p["wx"] + p["b"]).T)
     logs = np.zeros(w.targets.shape, dtype=np.float32)
-    h = np.zeros((len(w.lanes), HIDDEN), dtype=np.float32)
+    h = np.zeros((HIDDEN, len(w.lanes)), dtype=np.float32)
     for at, to in w:
         states, _, h = run_window(p, proj, w, at, to, h, False)
-        n = states.shape[1]
+        n = states.shape[2]
         live = np.arange(n)[None, :] < w.active[at:to, None]
-        found, _, _ = output(p, states[live], w.targets[at:to, :n][live].astype(np.int64), False)
+        found, _, _ = output(p, states.transpose(0, 2, 1)[live], w.targets[at:to, :n][live].astype(np.int64), False)
         part = np.zeros(live.shape, dtype=np.float32)
         part[live] = found
         logs[at:to, :n] = part
@@ -218,49 +243,54 @@ class Trainer:
 
     def learn(self, texts: list[np.ndarray]) -> None:
         p, w, H = self.p, Windows(texts, self.wide), HIDDEN
-        h = np.zeros((len(w.lanes), H), dtype=np.float32)
+        h = np.zeros((H, len(w.lanes)), dtype=np.float32)
         # one scale for all windows: where few lanes are left, steps are small
         scale = np.float32(1 / (max(1, len(w.lanes)) * WINDOW))
         for at, to in w:
-            proj = p["e"] @ p["wx"] + p["b"]
+            proj = np.ascontiguousarray((p["e"] @ p["wx"] + p["b"]).T)
             states, kept, h = run_window(p, proj, w, at, to, h, True)
-            n = states.shape[1]
+            n = states.shape[2]
             live = np.arange(n)[None, :] < w.active[at:to, None]
-            rows = states[live]
+            rows = states.transpose(0, 2, 1)[live]
             logs, dh, g = output(p, rows, w.targets[at:to, :n][live].astype(np.int64), True)
             self.tokens += len(rows)
             self.loss -= float(logs.sum())
-            later = np.zeros(states.shape, dtype=np.float32)
+            later = np.zeros((to - at, n, H), dtype=np.float32)
             later[live] = dh
-            da = np.zeros((to - at, n, 3 * H), dtype=np.float32)
+            later = np.ascontiguousarray(later.transpose(0, 2, 1))
+            da = np.zeros((to - at, 3 * H, n), dtype=np.float32)
             du = np.zeros_like(p["u"])
-            u_zr, u_n = p["u"][:, : 2 * H].T.copy(), p["u"][:, 2 * H :].T.copy()
-            back = np.zeros((n, H), dtype=np.float32)
+            u_zr, u_n = p["u"][:, : 2 * H], p["u"][:, 2 * H :]
+            back = np.zeros((H, n), dtype=np.float32)
             for t in range(to - at - 1, -1, -1):
                 h0, z, r, hn, c, reset = kept[t]
-                m = len(h0)
-                d = later[t, :m]
-                d += back[:m]
-                a = da[t, :m]
-                dc = d * (1 - z)
-                dc *= 1 - c * c
-                dz = d * (h0 - c)
-                dz *= z * (1 - z)
-                a[:, :H], a[:, 2 * H :] = dz, dc
+                m = h0.shape[1]
+                d = later[t, :, :m] + back[:, :m]
+                a = np.empty((3 * H, m), dtype=np.float32)
+                dc = d * z
+                np.subtract(d, dc, out=dc)
+                dc -= dc * c * c
+                a[2 * H :] = dc
+                dz = h0 - c
+                dz *= d
                 dr = dc * hn
-                dr *= r * (1 - r)
-                a[:, H : 2 * H] = dr
-                dcr = dc * r
-                du[:, : 2 * H] += h0.T @ a[:, : 2 * H]
-                du[:, 2 * H :] += h0.T @ dcr
-                new = d * z
-                new += a[:, : 2 * H] @ u_zr
-                new += dcr @ u_n
+                gates = z - z * z
+                np.multiply(dz, gates, out=a[:H])
+                gates = r - r * r
+                np.multiply(dr, gates, out=a[H : 2 * H])
+                dc *= r
+                du[:, : 2 * H] += h0 @ a[: 2 * H].T
+                du[:, 2 * H :] += h0 @ dc.T
+                d *= z
+                d += u_zr @ a[: 2 * H]
+                d += u_n @ dc
                 if reset.any():
-                    new[reset] = 0
-                back[:m] = new
+                    d[:, reset] = 0
+                da[t, :, :m] = a
+                back[:, :m] = d
                 if m < n:
-                    back[m:] = 0
+                    back[:, m:] = 0
+            da = da.transpose(0, 2, 1)
             flat_a, ids = da[live], w.inputs[at:to, :n][live]
             order = np.argsort(ids, kind="stable")
             seen, first = np.unique(ids[order], return_index=True)

@@ -26,6 +26,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +107,7 @@ class Known:
         """Words, their places among the sent ones (-1: not sent), token ids; the end included."""
         words = words_of(text)
         words.append(END)
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int32)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
         ids = self.ids[at]
         for i in np.flatnonzero(at < 0).tolist():
             ids[i] = gru.HEAD + tail_of(words[i])
