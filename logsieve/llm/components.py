@@ -30,6 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
         now = materialize(_small(_large(now)), "components")
-        # stars alone are left when no vertex is both a leaf and a centre
-        if now.join(now.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        # stars alone are left when no vertex is both a leaf and a centre, and no leaf has two centres
+        inner = now.join(now.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+        torn = now.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("u")
+        if inner.unionByName(torn).isEmpty():
             return now
