@@ -117,12 +117,13 @@ def _sketch(near: Near):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("digest"),
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.binary()),
                     pa.array(list(np.concatenate(planes, axis=1)), pa.list_(pa.int64())),
                     pa.array([k if s else k[:0] for k, s in zip(keys, some, strict=True)], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "v", "planes", "bands"],
+                names=["doc_id", "digest", "n_shingles", "v", "planes", "bands"],
             )
 
     return run
@@ -244,12 +245,20 @@ def _prefix_lists(sets: DataFrame, classes: DataFrame, percent: int) -> DataFram
     )
 
 
-def find(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, v (the class)."""
-    docs = docs.select("doc_id", "text")
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _grouped(docs: DataFrame, near: Near, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and of each class v, first (its least id), row (its first row) and label (its component).
+
+    The first row is the one with the least id, null last, then the least digest of
+    its text; without ``digests`` the digest is null.
+    """
+    docs = docs.select("doc_id", "text", (_digest() if digests else F.lit(None).cast("binary")).alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = docs.mapInArrow(
-        _sketch(near), f"doc_id {kind}, n_shingles long, v binary, planes array<long>, bands array<long>"
+        _sketch(near), f"doc_id {kind}, digest binary, n_shingles long, v binary, planes array<long>, bands array<long>"
     )
     rows = materialize(sketch, "sketch")
     classes = materialize(
@@ -257,12 +266,13 @@ def find(docs: DataFrame, near: Near = Near()) -> DataFrame:
         .groupBy("v")
         .agg(
             F.min("doc_id").alias("first"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"),
             F.min_by("planes", "doc_id").alias("planes"),
             F.min_by("bands", "doc_id").alias("bands"),
             F.any_value("planes").alias("p0"),
             F.any_value("bands").alias("b0"),
         )
-        .select("v", "first", F.coalesce("planes", "p0").alias("planes"), F.coalesce("bands", "b0").alias("bands")),
+        .select("v", "first", "row", F.coalesce("planes", "p0").alias("planes"), F.coalesce("bands", "b0").alias("bands")),
         "classes",
     )
     members = classes.select("v", F.explode("bands").alias("key"))
@@ -281,12 +291,18 @@ def find(docs: DataFrame, near: Near = Near()) -> DataFrame:
         again = _prefix_lists(sets, left.select("v").distinct(), near.percent)
         resolver.run(materialize(again, "prefix"), rounds=None)
 
-    names = classes.select("v", "first")
+    names = classes.select("v", "first", "row")
     if resolver.labels is not None:
         labels = resolver.labels.select(F.col("u").alias("v"), F.col("v").alias("label"))
         names = names.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     else:
         names = names.withColumn("label", F.col("v"))
+    return rows, names
+
+
+def find(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, v (the class)."""
+    rows, names = _grouped(docs, near, digests=False)
     least = names.groupBy("label").agg(F.min("first").alias("component_id"))
     names = materialize(names.join(least, "label").select("v", "component_id"), "names")
     # a class may hold a third of all rows; the join is on it, and splits where it is skewed
@@ -303,8 +319,28 @@ def report(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """``docs`` without those of which a near copy with a smaller id exists."""
-    found = materialize(report(docs, near).where("kept").groupBy("doc_id").count(), "kept")
-    kept = found.select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if not found.where("count > 1").isEmpty() else out
+    """``docs`` with one row of each component: the one with the least id (null last), then the least text digest.
+
+    Ids may be null or repeated. Of rows with the same id and text one stays, whichever
+    it is. Rows without a word are linked with nothing and all stay.
+    """
+    rows, names = _grouped(docs, near, digests=True)
+    first = names.groupBy("label").agg(F.min("row").alias("row")).select("row.doc_id", "row.digest")
+    counts = rows.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    same = counts["doc_id"].eqNullSafe(first["doc_id"]) & (counts["digest"] == first["digest"])
+    kept = materialize(counts.join(first, same, "left_semi"), "kept")
+
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    worded = docs.where(~blank).withColumn("_digest", _digest())
+
+    def of(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_text"))
+        same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_text"))
+        return worded.join(keys.hint("shuffle_hash"), same, "left_semi")
+
+    again = kept.where("n > 1")
+    if again.isEmpty():
+        out = of(kept)
+    else:
+        out = of(kept.where("n = 1")).unionByName(of(again).dropDuplicates(["doc_id", "_digest"]))
+    return out.select(*docs.columns).unionByName(docs.where(blank))

@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from logsieve.llm import mixing, quality
+from logsieve.llm import minhash, mixing, quality
 from logsieve.llm.common import LOWER, materialize
 
 TABLES = "/root/testdata/sf0.001"
@@ -76,3 +76,19 @@ def test_run(spark):
     found = corpus_pipeline.run(spark, TABLES).collect()
     assert sorted(r.slot for r in found) == list(range(len(found)))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_keep_first_takes_null_and_repeated_ids(spark):
+    """Of each component one row stays, by what its rows hold and not by id alone."""
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = words[0].replace("a59", "other")
+    rows = [
+        (5, near, 1), (3, words[0], 2), (None, near + " more", 3), (None, words[1], 4), (None, words[2], 5), (None, words[2], 6),
+        (7, words[3], 7), (7, words[4], 8), (7, words[4].upper(), 9), (None, words[5], 10), (9, words[5], 11),
+        (None, "", 12), (None, None, 13), (7, " \t\x0b\x0c\r\n", 14), (7, "", 15), (3, "a b", 16),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    found = minhash.keep_first(docs)
+    assert found.columns == docs.columns
+    at = sorted(r["at"] for r in found.collect())
+    assert at in [sorted([2, 4, c, 7, d, 11, 12, 13, 14, 15, 16]) for c in (5, 6) for d in (8, 9)]
