@@ -6,7 +6,8 @@ found, so it still uses up its characters. Beside them, candidate strings of
 the window's character counts change by one incoming and one outgoing character,
 and the sum of c * log2(c) with them. A candidate becomes a span when the highest
 window entropy reaches its character class's threshold, unless the allow-list
-covers it or a base span overlaps it.
+covers it or a base span overlaps it. Letters without a digit must also look
+unlike words (``_random_letters``).
 
 Positions are code points, end exclusive. Where a pattern matches, the text is
 split by it: the gaps' and matches' lengths add up to the positions.
@@ -29,7 +30,7 @@ WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character class (whole candidate) and the least entropy in bits a character.
-CLASSES = (("^[0-9]+$", 9.0), ("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z+/_=-]+$", 9.0), ("", 3.7))
+CLASSES = (("^[0-9]+$", 3.0), ("^[0-9a-fA-F]+$", 3.0), ("^(?:[A-Z]+|[a-z]+)=*$", 3.7), ("^[A-Za-z+/_=-]+$", 3.8), ("", 3.7))
 #: Candidates of these forms are never reported.
 ALLOW = (
     "(?i)example|sample|placeholder|changeme|xxxx",
@@ -118,6 +119,15 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     )
 
 
+def _random_letters(word: Column) -> Column:
+    """Whether letters without a digit are no words: a fifth of them outside of parts like Name or name, or few vowels in one case."""
+    letters = F.regexp_count(word, F.lit("[A-Za-z]"))
+    loose = F.regexp_count(F.regexp_replace(word, "[A-Z]?[a-z]{2,15}", ""), F.lit("[A-Za-z]"))
+    vowels = F.regexp_count(word, F.lit("(?i)[aeiouy]"))
+    both = word.rlike("[A-Z]") & word.rlike("[a-z]") & (5 * loose >= letters)
+    return both | (word.rlike("^(?:[A-Z]+|[a-z]+)=*$") & (10 * vowels <= 3 * letters))
+
+
 def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
     def suspicious(m):
         word = m["whole"]
@@ -127,7 +137,7 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column
         allowed = F.lit(False)
         for pattern in allow:
             allowed = allowed | word.rlike(pattern)
-        mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+        mixed = word.rlike("^[0-9]+$") | F.when(word.rlike("[0-9]"), word.rlike("[A-Za-z]")).otherwise(_random_letters(word))
         stop = m["start"] + F.length(word)
         covered = F.exists(base, lambda b: (b["start"] < stop) & (m["start"] < b["stop"]))
         # the cheap tests first: the entropy is worked out for the few that pass
@@ -142,8 +152,7 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column
             F.lit("entropy").alias("kind"),
         ),
     )
-    # only where some candidate holds a digit
-    return F.when(text.rlike("[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]") & text.rlike(CANDIDATE), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(CANDIDATE), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, base: str = "base_spans", every: str = "all_spans") -> DataFrame:

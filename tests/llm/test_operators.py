@@ -145,6 +145,18 @@ def test_secret_entropy_and_redaction(spark):
     assert clean == {1: "use [secret] now", 2: "nothing", 3: "[secret]!", 4: f"example{key}", 5: None}
 
 
+def test_secret_letters_and_digits(spark):
+    """Keys of letters or digits alone are found; words, names and rules are not."""
+    keys = ["qGzRkWxKvVbLmNpJwTtYcHdS", "QZXJKWVPTBHGFDCMNRLS", "zqxjkwvptbhgfdcmnrls", "83150472968351049726", "kT/RzWq+XvBnMpLdJwGcYhSf"]
+    words = [
+        "getUserFromListByNameAndKey", "AbstractSingletonProxyFactoryBean", "Content-Security-Policy-Report-Only", "=" * 40,
+        "rechtsschutzversicherungsgesellschaften", "the_quick_brown_fox_and_dogs", "usr/local/share/dictionary/words", "1" * 30,
+    ]
+    docs = spark.createDataFrame([(i, f"use {k} now") for i, k in enumerate(keys + words)], "doc_id int, text string")
+    spans = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert spans == {i: f"entropy:4:{4 + len(k)}" if k in keys else "" for i, k in enumerate(keys + words)}
+
+
 def test_language_model(rows, docs):
     found = reclm.report(docs).collect()
     counts = Counter()
