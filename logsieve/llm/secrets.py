@@ -31,13 +31,19 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character class (whole candidate) and the least entropy in bits a character.
 CLASSES = (("^[0-9]+$", 3.0), ("^[0-9a-fA-F]+$", 3.0), ("^(?:[A-Z]+|[a-z]+)=*$", 3.7), ("^[A-Za-z+/_=-]+$", 3.8), ("", 3.7))
+#: What stands before a value: signs, and names up to =.
+LEAD = "^[=-]*(?:[A-Za-z_][A-Za-z0-9_-]{0,30}=+(?=[^=])){0,8}"
+# paths: every segment is made of words, short numbers and single letters
+_PART = "(?:[A-Za-z]?[0-9]{1,8}|(?:[A-Z][a-z])?[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15}){0,4}[0-9]{0,4}|[A-Z]{1,15}[0-9]{0,4}|[A-Z]?[a-z])"
+_SEGMENT = f"[_+=-]{{0,2}}{_PART}(?:[_+=-]{{1,2}}{_PART}){{0,15}}[_+=-]{{0,2}}"
+PATH = f"^(?=/|.*//)/*{_SEGMENT}(?:/+{_SEGMENT}){{0,40}}/*$"
 #: Candidates of these forms are never reported.
 ALLOW = (
     "(?i)example|sample|placeholder|changeme|xxxx",
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "(?i)0123456789|abcdefghij",
     "^(.{1,4})\\1{4,}",
-    "^[/_=+-]|//",
+    PATH,
 )
 
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
@@ -129,8 +135,7 @@ def _random_letters(word: Column) -> Column:
 
 
 def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
-    def suspicious(m):
-        word = m["whole"]
+    def suspicious(word, start):
         limit = None
         for pattern, least in reversed(CLASSES):
             limit = F.lit(least) if limit is None else F.when(word.rlike(pattern), least).otherwise(limit)
@@ -138,20 +143,31 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column
         for pattern in allow:
             allowed = allowed | word.rlike(pattern)
         mixed = word.rlike("^[0-9]+$") | F.when(word.rlike("[0-9]"), word.rlike("[A-Za-z]")).otherwise(_random_letters(word))
-        stop = m["start"] + F.length(word)
-        covered = F.exists(base, lambda b: (b["start"] < stop) & (m["start"] < b["stop"]))
+        stop = start + F.length(word)
+        covered = F.exists(base, lambda b: (b["start"] < stop) & (start < b["stop"]))
         # the cheap tests first: the entropy is worked out for the few that pass
         return F.when(~mixed | allowed | covered, False).otherwise(window_entropy(word) >= limit)
 
-    spans = F.transform(
-        F.filter(_matches(text, CANDIDATE), suspicious),
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            F.lit(4).alias("rank"),
-            (m["start"] + F.length(m["whole"])).alias("stop"),
-            F.lit("entropy").alias("kind"),
-        ),
-    )
+    def part(m):
+        """The value after signs and names, if it fills a window and is suspicious; else the whole, unless it is an option."""
+        word = m["whole"]
+        lead = F.length(F.regexp_extract(word, LEAD, 0))
+        long = F.length(word) - lead >= WINDOW
+
+        def span(at):
+            return F.struct(
+                (m["start"] + at).alias("start"),
+                F.lit(4).alias("rank"),
+                (m["start"] + F.length(word)).alias("stop"),
+                F.lit("entropy").alias("kind"),
+            )
+
+        value = word.substr(lead + 1, F.length(word))
+        option = word.rlike("^-+[A-Za-z_][A-Za-z0-9_-]*=+[^=]")
+        whole = F.when(option | ((lead == 0) & long), False).otherwise(suspicious(word, m["start"]))
+        return F.when(long & suspicious(value, m["start"] + lead), span(lead)).when(whole, span(F.lit(0)))
+
+    spans = F.filter(F.transform(_matches(text, CANDIDATE), part), F.isnotnull)
     return F.when(text.rlike(CANDIDATE), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 

@@ -157,6 +157,20 @@ def test_secret_letters_and_digits(spark):
     assert spans == {i: f"entropy:4:{4 + len(k)}" if k in keys else "" for i, k in enumerate(keys + words)}
 
 
+def test_secret_forms(spark):
+    """A key is found behind an option or a sign, or where it looks like a path; paths of words are not."""
+    key = "q7Rz1Kx9Vb3Lm5Np8Wt2Yc4D"
+    forms = {
+        f"--auth={key}": 7, f"cfg[key]={key}": 9, f"X ={key}": 3, f"/{key[:11]}//{key[11:]}+a": 0, f"+{key}": 0, f"_{key}": 0,
+        f"name={key}==": 5, f"a=b={key}": 4, f"{key}=abc": 0, "key=ab1Cd3eF5gH7iJ9kL2": 0,
+    }
+    paths = ["/usr/lib/x86_64-linux-gnu/python3/site-packages", "//www/2024/01/15/article-title-123", "/Users/John/MyProject2/src", "--max-connections-per-host=100"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*forms, *paths])], "doc_id int, text string")
+    spans = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    wanted = [f"entropy:{at}:{len(x)}" for x, at in forms.items()] + [""] * len(paths)
+    assert spans == dict(enumerate(wanted))
+
+
 def test_language_model(rows, docs):
     found = reclm.report(docs).collect()
     counts = Counter()
