@@ -143,9 +143,13 @@ def materialized_small(df: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return assign(docs.select("doc_id", "source", "text")).select(
+    """A row for each document, range-sorted by its first position; those not taken come last."""
+    rows = assign(docs.select("doc_id", "source", "text")).select(
         "doc_id", "size", "source_size", "target", "taken", "positions"
     )
+    first = F.get("positions", F.lit(0)).asc_nulls_last()
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, first, "doc_id").sortWithinPartitions(first, "doc_id")
 
 
 def curriculum(docs: DataFrame) -> DataFrame:

@@ -299,6 +299,12 @@ def test_mixing(rows, docs):
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
 
 
+def test_mixing_is_sorted(docs):
+    """Rows come in the order of their first position, those not taken last."""
+    first = [r.positions[0] if r.positions else 2.0 for r in mixing.report(docs).collect()]
+    assert len(first) == docs.count() and first == sorted(first)
+
+
 def test_schedules():
     for schedule in mixing.SCHEDULES:
         assert schedule[0][0] == 0 and schedule[-1][0] == 1
