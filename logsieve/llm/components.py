@@ -25,13 +25,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether only stars are left: each leaf has one centre, and no centre is a leaf."""
+    ends = edges.select(F.col("u").alias("x"), "v").unionByName(edges.select(F.col("v").alias("x"), F.lit(None).alias("v")))
+    leaf = ends.groupBy("x").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(F.col("v").isNull()).alias("centre"))
+    return leaf.where("lo <> hi or (lo is not null and centre > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) -> (u, v): every vertex but a component's least, and that least vertex."""
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
         now = materialize(_small(_large(now)), "components")
-        # stars alone are left when no vertex is both a leaf and a centre, and no leaf has two centres
-        inner = now.join(now.select(F.col("v").alias("u")), "u", "left_semi").select("u")
-        torn = now.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("u")
-        if inner.unionByName(torn).isEmpty():
+        if _settled(now):
             return now

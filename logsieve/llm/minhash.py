@@ -9,14 +9,15 @@ or null one has none and is linked with nothing. Two documents are linked when
    minima become bucket keys; of each minimum ``BITS`` low bits are kept, packed
    in bit planes.
 2. Documents with equal sets are one class (a vertex), however many they are.
-3. Classes in one bucket are candidates. First every class meets its bucket's hub.
-   A bucket whose classes are then in one component is done: further links in it
-   change nothing. Of the others, small ones compare all classes still apart, large ones
-   meet more and more hubs. Classes in large buckets that stay apart are
-   joined anew on their rarest shingles (a prefix filter, which is exact), so no
-   bucket is ever expanded into all its pairs and none is cut.
-4. Candidates far below the threshold by the collision-corrected estimate (5
-   standard errors) go; the rest are confirmed by their full shingle sets.
+3. Classes in one bucket are candidates, and each meets its bucket's hub. Pairs far below
+   the threshold by the collision-corrected estimate (5 standard errors) go; the rest are
+   confirmed by their full shingle sets. A bucket whose classes are all linked with its hub
+   is done: further links in it change nothing.
+4. Classes of other buckets are joined on their rarest shingles (a prefix filter, which
+   is exact; ``prefix.py``). Each list of classes again meets a hub first, and what each
+   class lacks and has beside the hub bounds its likeness to all others; only pairs
+   that the bounds leave open are compared. No list is ever expanded into all its pairs
+   and none is cut.
 5. Components by star contraction; all tables stay distributed.
 
 Repeated rows fall into one class. A null id takes part; a class of null ids
@@ -36,13 +37,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, slices, text_bytes
+from . import prefix
+from .common import LOWER, materialize, slices, text_bytes, unused
 from .components import components
 from .ftrl import mix
 
 HASHES, BITS = 192, 2
-#: Lists of at most so many classes are compared pair by pair.
-SMALL = 32
 _PLANE = HASHES // 64
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -158,91 +158,42 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-class _Resolver:
-    """Finds links among the classes of many lists (key, v) until no list can add a component."""
-
-    def __init__(self, near: Near, planes: DataFrame, sets: DataFrame):
-        self.near, self.planes, self.sets = near, planes, sets
-        self.labels: DataFrame | None = None
-
-    def labelled(self, lists: DataFrame) -> DataFrame:
-        """``lists`` with each class's component, of keys with several components."""
-        if self.labels is None:
-            out = lists.withColumn("label", F.col("v"))
-        else:
-            names = self.labels.select(F.col("u").alias("v"), F.col("v").alias("label"))
-            out = lists.join(names, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        open_ = out.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        return out.join(open_.where("lo <> hi").select("key", "m"), "key")
-
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs (a, b) and renew the components."""
-        near = self.near
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        close = (
-            pairs.join(self.planes.select(F.col("v").alias("a"), F.col("planes").alias("pa")), "a")
-            .join(self.planes.select(F.col("v").alias("b"), F.col("planes").alias("pb")), "b")
-            .where(estimate(F.col("pa"), F.col("pb")) >= near.least_estimate)
-            .select("a", "b")
-        )
-        close = materialize(close, "candidates")
-        if close.isEmpty():
-            return
-        both = (
-            close.join(self.sets.select(F.col("v").alias("a"), F.col("items").alias("x")), "a")
-            .join(self.sets.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
-            .withColumn("common", F.size(F.array_intersect("x", "y")))
-        )
-        union = F.size("x") + F.size("y") - F.col("common")
-        links = materialize(
-            both.where(100 * F.col("common") >= near.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")),
-            "links",
-        )
-        if not links.isEmpty():
-            # the components so far stand for the links so far
-            self.labels = components(links if self.labels is None else links.unionByName(self.labels))
-
-    def run(self, lists: DataFrame, rounds: int | None) -> DataFrame:
-        """Lists that are still open after so many rounds (None: until none is)."""
-        step = 0
-        while True:
-            lists = materialize(self.labelled(lists), "lists")
-            if lists.isEmpty() or step == rounds:
-                return lists
-            if step == 0:
-                hubs = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("hub"))
-                hubs = hubs.select("key", F.col("hub.v").alias("b"))
-                self.link(lists.join(hubs, "key").select(F.col("v").alias("a"), "b"))
-                lists = lists.drop("m", "label").join(hubs.withColumnRenamed("b", "v"), ["key", "v"], "left_anti")
-            else:
-                few = lists.where(F.col("m") <= SMALL)
-                other = few.select("key", F.col("v").alias("b"), F.col("label").alias("other"))
-                pairs = few.join(other, "key").where("v < b and label <> other").select(F.col("v").alias("a"), "b")
-                many = lists.where(F.col("m") > SMALL)
-                # each round sixteen times as many hubs, the same ones in every list that holds them
-                chance = 16**step
-                draw = F.pmod(F.xxhash64("v", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
-                least = many.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "v")).alias("first"))
-                chosen = many.join(least, "key").where((draw < chance / F.col("m")) | (F.col("v") == F.col("first.v")))
-                hubs = chosen.select("key", F.col("v").alias("b"), F.col("label").alias("other"))
-                star = many.join(hubs, "key").where("label <> other").select(F.col("v").alias("a"), "b")
-                self.link(pairs.unionByName(star))
-                lists = many.drop("m", "label").join(hubs.select("key", F.col("b").alias("v")), ["key", "v"], "left_anti")
-            step += 1
-
-
-def _prefix_lists(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(key, v): each class's rarest shingles, of which linked classes share at least one."""
-    items = sets.join(classes, "v", "left_semi").select("v", F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("n"))
-    ranked = items.join(counts, "item").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("all"))
-    size = F.size("all")
-    length = (size - F.ceil(size * F.lit(percent) / 100) + 1).cast("int")
-    return (
-        ranked.select("v", F.explode(F.slice("all", F.lit(1), length)).alias("x"))
-        .where("x.n > 1")
-        .select(F.col("x.item").alias("key"), "v")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def confirm(pairs: DataFrame, planes: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) that are linked: by the estimate first, then by their full sets."""
+    close = (
+        _ordered(pairs)
+        .join(planes.select(F.col("v").alias("a"), F.col("planes").alias("pa")), "a")
+        .join(planes.select(F.col("v").alias("b"), F.col("planes").alias("pb")), "b")
+        .where(estimate(F.col("pa"), F.col("pb")) >= near.least_estimate)
+        .select("a", "b")
+    )
+    both = (
+        close.join(sets.select(F.col("v").alias("a"), F.col("items").alias("x")), "a")
+        .join(sets.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
+        .withColumn("common", F.size(F.array_intersect("x", "y")))
     )
+    union = F.size("x") + F.size("y") - F.col("common")
+    return materialize(both.where(100 * F.col("common") >= near.percent * union).select("a", "b"), "links")
+
+
+def _links(lists: DataFrame, planes: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) that join all linked classes of the band lists (key, v) into components."""
+    hubs = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("hub"))
+    stars = materialize(lists.join(hubs.select("key", F.col("hub.v").alias("hub")), "key"), "stars")
+    links = confirm(stars.select(F.col("v").alias("a"), F.col("hub").alias("b")), planes, sets, near)
+    linked = links.withColumn("linked", F.lit(True))
+    pair = stars.withColumns({"a": F.least("v", "hub"), "b": F.greatest("v", "hub")}).join(linked, ["a", "b"], "left")
+    done = F.coalesce("linked", F.col("v") == F.col("hub"))
+    open_ = pair.groupBy("key").agg(F.min(done).alias("done")).where("not done").select("key")
+    classes = materialize(stars.join(open_, "key", "left_semi").select("v").distinct(), "open")
+    if classes.isEmpty():
+        return links
+    more, pairs = prefix.candidates(sets.join(classes, "v", "left_semi"), near.percent)
+    return links.unionByName(more).unionByName(confirm(pairs, planes, sets, near))
 
 
 def _digest() -> Column:
@@ -285,18 +236,10 @@ def _grouped(docs: DataFrame, near: Near, digests: bool) -> tuple[DataFrame, Dat
     sets = texts.select("text").mapInArrow(_full_sets(near.words), "v binary, items array<long>")
     sets = materialize(sets.join(candidates, "v", "left_semi").dropDuplicates(["v"]), "sets")
 
-    resolver = _Resolver(near, planes.select("v", "planes"), sets)
-    left = resolver.run(lists, rounds=2)
-    if not left.isEmpty():
-        again = _prefix_lists(sets, left.select("v").distinct(), near.percent)
-        resolver.run(materialize(again, "prefix"), rounds=None)
-
-    names = classes.select("v", "first", "row")
-    if resolver.labels is not None:
-        labels = resolver.labels.select(F.col("u").alias("v"), F.col("v").alias("label"))
-        names = names.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    else:
-        names = names.withColumn("label", F.col("v"))
+    links = _links(lists, planes.select("v", "planes"), sets, near)
+    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = labels.select(F.col("u").alias("v"), F.col("v").alias("label"))
+    names = classes.select("v", "first", "row").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     return rows, names
 
 
@@ -331,16 +274,18 @@ def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     kept = materialize(counts.join(first, same, "left_semi"), "kept")
 
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    worded = docs.where(~blank).withColumn("_digest", _digest())
+    digest, key, text = unused(docs, "_digest", "_key", "_text")
+    worded = docs.where(~blank).withColumn(digest, _digest())
 
     def of(keys: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_text"))
-        same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_text"))
+        keys = keys.select(F.col("doc_id").alias(key), F.col("digest").alias(text))
+        same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(digest) == F.col(text))
+        # what is held of a partition is an id and a digest for each of its documents
         return worded.join(keys.hint("shuffle_hash"), same, "left_semi")
 
     again = kept.where("n > 1")
     if again.isEmpty():
         out = of(kept)
     else:
-        out = of(kept.where("n = 1")).unionByName(of(again).dropDuplicates(["doc_id", "_digest"]))
+        out = of(kept.where("n = 1")).unionByName(of(again).dropDuplicates(["doc_id", digest]))
     return out.select(*docs.columns).unionByName(docs.where(blank))

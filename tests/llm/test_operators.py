@@ -242,9 +242,8 @@ def test_minhash(rows, docs, words, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_minhash_large_lists(spark, monkeypatch):
-    """Chains of near copies, and many texts around one passage, in lists above SMALL."""
-    monkeypatch.setattr(minhash, "SMALL", 4)
+def test_minhash_large_lists(spark):
+    """Chains of near copies, and many texts around one passage."""
     random = np.random.default_rng(5)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = []
