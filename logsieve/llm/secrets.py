@@ -10,21 +10,27 @@ covers it or a base span overlaps it. Letters without a digit must also look
 unlike words (``_random_letters``).
 
 Positions are code points, end exclusive. Where a pattern matches, the text is
-split by it: the gaps' and matches' lengths add up to the positions.
-Null and empty texts have no spans. Repeated rows are scanned each for itself.
-The scan is narrow; nothing is shuffled.
+split by it: the gaps' and matches' lengths add up to the positions. They are added up
+in blocks of the square root of the matches' number, so that neither long texts nor
+many matches cost their square. Null and empty texts have no spans. Repeated rows
+are scanned each for itself. The scan is narrow; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values
+from .common import unused
+
+# fixed values; runs below the least length are left out by the pattern, as no longer run begins inside them
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
-MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
+ACCESS = "AKIA[A-Z0-9]{12,}"
+HEX = "[0-9a-f]{32,}"
+MIN_ASSIGN = 8
 
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
@@ -47,82 +53,104 @@ ALLOW = (
 )
 
 _SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
+_MATCH = "array<struct<start:bigint,whole:string,part:string>>"
+
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """(start, whole match, group's text) of each match, in order."""
+
+def _blocks(text: Column, pattern: str, each: Callable[[Column], Column], group: int = 0) -> Column:
+    """The results of ``each`` for blocks of matches (start, whole match, group's text), in order, as one array."""
     found = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
     )
-    empty = F.lit(None).cast("array<struct<start:bigint,whole:string,part:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array().cast(empty_type())).alias("out"))
+
+    def long(x):
+        return (x["gap"] + F.coalesce(F.length(x["whole"]), F.lit(0))).cast("bigint")
 
     def step(state, x):
         begin = state["at"] + x["gap"]
-        return F.when(x["whole"].isNull(), state).otherwise(
-            F.struct(
-                (begin + F.length(x["whole"])).alias("at"),
-                F.array_append(
-                    state["out"], F.struct(begin.alias("start"), x["whole"].alias("whole"), x["part"].alias("part"))
-                ).alias("out"),
-            )
-        )
+        mine = F.struct(begin.alias("start"), x["whole"].alias("whole"), x["part"].alias("part"))
+        # after the last match only a gap follows
+        grown = F.when(x["whole"].isNull(), state["out"]).otherwise(F.array_append(state["out"], mine))
+        return F.struct((state["at"] + long(x)).alias("at"), grown.alias("out"))
+
+    zero = F.lit(0).cast("bigint")
 
-    return F.aggregate(found, start, step, lambda s: s["out"])
+    def matches(block, begin):
+        start = F.struct(begin.alias("at"), F.array().cast(_MATCH).alias("out"))
+        return F.aggregate(block, start, step, lambda s: s["out"])
 
+    def whole(cut):
+        sizes = F.transform(cut, lambda block: F.aggregate(block, zero, lambda n, x: n + long(x)))
+        starts = let(sizes, lambda n: F.transform(n, lambda _, i: F.aggregate(F.slice(n, F.lit(1), i), zero, lambda a, b: a + b)))
+        return F.flatten(F.zip_with(cut, starts, lambda block, begin: let(matches(block, begin), each)))
 
-def empty_type() -> str:
-    return "array<struct<start:bigint,whole:string,part:string>>"
+    def cut(all_):
+        wide = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(all_), wide), lambda i: F.slice(all_, i, wide))
 
+    return let(let(found, cut), whole)
 
-def _kind(text: Column, kind: str, rank: int, pattern: str, present: str, least: int, group: int = 0) -> Column:
+
+def _kind(text: Column, kind: str, rank: int, pattern: str, present: str, least: int = 0, group: int = 0) -> Column:
     """Spans of one kind; ``present`` is a pattern without which there can be none."""
-    kept = F.filter(_matches(text, pattern, group), lambda m: F.length(m["part"]) >= least)
-    spans = F.transform(
-        kept,
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            F.lit(rank).alias("rank"),
-            (m["start"] + F.length(m["whole"])).alias("stop"),
-            F.lit(kind).alias("kind"),
-        ),
-    )
-    return F.when(text.rlike(present), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+
+    def spans(block):
+        return F.transform(
+            F.filter(block, lambda m: F.length(m["part"]) >= least),
+            lambda m: F.struct(
+                m["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                (m["start"] + F.length(m["whole"])).alias("stop"),
+                F.lit(kind).alias("kind"),
+            ),
+        )
+
+    found = _blocks(text, pattern, spans, group)
+    return F.when(text.rlike(present), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The highest entropy of ``window`` consecutive characters, by incremental counts."""
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
-    state = F.struct(zero.alias("n"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
+    width = len(ALPHABET) + 1
+    state = F.struct(F.array_repeat(F.lit(0), width).alias("n"), F.lit(0.0).alias("s"), F.lit(float("inf")).alias("least"))
 
     def clog(c):
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(acc, i):
-        into = F.instr(F.lit(ALPHABET), candidate.substr(i, F.lit(1))) + 1
-        # the character that leaves; 0 while the window fills
-        out = F.when(i > window, F.instr(F.lit(ALPHABET), candidate.substr(i - window, F.lit(1))) + 1).otherwise(F.lit(0))
-        same = into == out
-        c_in, c_out = F.element_at(acc["n"], into), F.when(out > 0, F.element_at(acc["n"], out)).otherwise(F.lit(0))
-        counts = F.transform(
-            acc["n"],
-            lambda c, k: c + F.when(k + 1 == into, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0),
+    def put(counts, place, by):
+        """``counts`` with one slot changed."""
+        new = F.element_at(counts, place) + by
+        return F.concat(F.slice(counts, F.lit(1), place - 1), F.array(new), F.slice(counts, place + 1, F.lit(width)))
+
+    def over(codes):
+        def step(acc, i):
+            into = F.element_at(codes, i)
+            out = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+            moved = (out > 0) & (out != into)
+            c_in = F.element_at(acc["n"], into)
+            c_out = F.element_at(acc["n"], F.greatest(out, F.lit(1)))
+            counts = (
+                F.when(out == into, acc["n"])
+                .when(moved, let(put(acc["n"], F.greatest(out, F.lit(1)), -1), lambda n: put(n, into, 1)))
+                .otherwise(put(acc["n"], into, 1))
+            )
+            change = clog(c_in + 1) - clog(c_in) + F.when(moved, clog(c_out - 1) - clog(c_out)).otherwise(F.lit(0.0))
+            total = acc["s"] + F.when(out == into, F.lit(0.0)).otherwise(change)
+            least = F.when(i >= window, F.least(acc["least"], total)).otherwise(acc["least"])
+            return F.struct(counts.alias("n"), total.alias("s"), least.alias("least"))
+
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(codes)), state, step, lambda s: F.lit(math.log2(window)) - s["least"] / window
         )
-        change = clog(c_in + 1) - clog(c_in) + F.when(out > 0, clog(c_out - 1) - clog(c_out)).otherwise(F.lit(0.0))
-        total = acc["s"] + F.when(same, F.lit(0.0)).otherwise(change)
-        least = F.when(i >= window, F.least(acc["least"], total)).otherwise(acc["least"])
-        return F.struct(counts.alias("n"), total.alias("s"), least.alias("least"))
-
-    import math
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(candidate)),
-        state,
-        step,
-        lambda s: F.lit(math.log2(window)) - s["least"] / window,
-    )
+
+    letters = F.regexp_extract_all(candidate, F.lit("(?s)."), F.lit(0))
+    return let(F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c) + 1), over)
 
 
 def _random_letters(word: Column) -> Column:
@@ -135,7 +163,7 @@ def _random_letters(word: Column) -> Column:
 
 
 def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
-    def suspicious(word, start):
+    def suspicious(word, start, base):
         limit = None
         for pattern, least in reversed(CLASSES):
             limit = F.lit(least) if limit is None else F.when(word.rlike(pattern), least).otherwise(limit)
@@ -148,7 +176,7 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column
         # the cheap tests first: the entropy is worked out for the few that pass
         return F.when(~mixed | allowed | covered, False).otherwise(window_entropy(word) >= limit)
 
-    def part(m):
+    def part(m, base):
         """The value after signs and names, if it fills a window and is suspicious; else the whole, unless it is an option."""
         word = m["whole"]
         lead = F.length(F.regexp_extract(word, LEAD, 0))
@@ -164,20 +192,32 @@ def _entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column
 
         value = word.substr(lead + 1, F.length(word))
         option = word.rlike("^-+[A-Za-z_][A-Za-z0-9_-]*=+[^=]")
-        whole = F.when(option | ((lead == 0) & long), False).otherwise(suspicious(word, m["start"]))
-        return F.when(long & suspicious(value, m["start"] + lead), span(lead)).when(whole, span(F.lit(0)))
+        whole = F.when(option | ((lead == 0) & long), False).otherwise(suspicious(word, m["start"], base))
+        return F.when(long & suspicious(value, m["start"] + lead, base), span(lead)).when(whole, span(F.lit(0)))
+
+    def spans(block):
+        # of the base spans only those within the block's reach
+        low, high = F.element_at(block, 1)["start"], F.element_at(block, -1)
+        near = F.filter(base, lambda b: (b["stop"] > low) & (b["start"] < high["start"] + F.length(high["whole"])))
+        return let(near, lambda own: F.filter(F.transform(block, lambda m: part(m, own)), F.isnotnull))
 
-    spans = F.filter(F.transform(_matches(text, CANDIDATE), part), F.isnotnull)
-    return F.when(text.rlike(CANDIDATE), spans.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    def each(block):
+        return F.when(F.size(block) > 0, spans(block)).otherwise(F.array().cast(_SPAN))
+
+    spans_ = _blocks(text, CANDIDATE, each)
+    return F.when(text.rlike(CANDIDATE), spans_.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW, base: str = "base_spans", every: str = "all_spans") -> DataFrame:
-    """``docs`` with arrays of spans (start, rank, stop, kind), sorted by start and kind."""
+    """``docs`` with arrays of spans (start, rank, stop, kind), sorted by start and kind.
+
+    Columns of ``docs`` that are named ``base`` or ``every`` are replaced.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.concat(
         _kind(text, "assign", 1, ASSIGN, "(?i)password|passwd|secret|token|api_?key", MIN_ASSIGN, 2),
-        _kind(text, "access", 2, ACCESS, "AKIA", MIN_ACCESS),
-        _kind(text, "hex", 3, HEX, "[0-9a-f]{32}", MIN_HEX),
+        _kind(text, "access", 2, ACCESS, ACCESS),
+        _kind(text, "hex", 3, HEX, "[0-9a-f]{32}"),
     )
     with_base = docs.withColumn(base, F.array_sort(found))
     extra = _entropy_spans(text, F.col(base), allow)
@@ -193,7 +233,8 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``docs`` with every span's text replaced; overlapping spans become one mark."""
-    found = scan(docs, allow, "_base", "_spans")
+    base, spans = unused(docs, "_base", "_spans")
+    found = scan(docs, allow, base, spans)
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -202,10 +243,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", allow: tuple[str, ...] = ALL
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), grown.alias("out"))
 
     rest = F.aggregate(
-        "_spans", state, step,
+        spans, state, step,
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    text = F.when(F.size("_spans") > 0, rest).otherwise(F.col("text"))
+    text = F.when(F.size(spans) > 0, rest).otherwise(F.col("text"))
     return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
