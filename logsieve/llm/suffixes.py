@@ -10,17 +10,20 @@ anchor owns a run of consecutive windows, a *record*. Buckets with one record ar
 done. Records that are equal as a whole are counted and need no sorting.
 
 *Blockwise sort.* The suffixes of the other records are sorted one bucket after another,
-several small buckets at a time, to depth ``LENGTH``. A block is laid out so
-that a window's place modulo ``PERIOD`` follows from its offset to the anchor. Ranks of the
-suffixes at a difference cover's places are made first, by doubling; suffixes
+several small buckets at a time, to depth ``LENGTH``. A bucket above ``BLOCK`` bytes is
+split first, by halves of its offsets and by the bytes that all windows of a half
+have in common, until the parts fit; at one offset these bytes are the whole window. A block
+is laid out so that a window's place modulo ``PERIOD`` follows from its offset to the anchor.
+Ranks of the suffixes at a difference cover's places are made first, by doubling; suffixes
 that tie after ``PERIOD`` bytes are then told apart by the ranks of the cover
 places that lie at equal distances in both. Memory follows the block, not the
 corpus.
 
-*Where things are.* Texts are never shuffled. Places travel as (partition, row,
-offset); what a partition's pass over its texts needs is written for each
-partition in the shared folder and read by the task. A bucket of over ``LIMIT``
-distinct records is not gathered: its windows are counted by digest.
+*Where things are.* The input is written once with a key for each row (the writing
+partition and the row in it), and all passes read that copy; texts are never shuffled. What a
+partition's pass over its texts needs is written for each partition in the shared
+folder and read by the tasks that meet its rows. A bucket of over ``LIMIT`` distinct records
+is not gathered in a task: its windows are counted by 128-bit digests.
 
 A null or empty text has no bytes. Texts below ``LENGTH`` bytes keep all. Repeated
 rows are copies of one another, so of long enough ones nothing is kept.
@@ -34,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ LENGTH, GRAM = 200, 32
 PERIOD, COVER = 13, (0, 1, 3, 9)
 DEPTH = 8 * PERIOD
 LIMIT = 32_768
-BLOCK = 4 << 20
+#: Bytes of text that are worked on at a time: in the pass over all texts, and in a sort.
+MOST, BLOCK = 1 << 20, 1 << 20
 _SPAN = LENGTH - GRAM + 1
 _ROW = 33
 _POS = np.uint64((1 << 24) - 1)
@@ -92,39 +95,32 @@ def records(data: bytes, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a, b, anchor[a], h[anchor[a]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20):
-    """(first row, texts, segment start) of about ``most`` bytes; a longer text comes in segments."""
-    held, size, row, head = [], 0, 0, 0
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """(keys, texts, segment start) of at most ``MOST`` bytes; a longer text comes in segments."""
+    held, keys, size = [], [], 0
     for batch in slices(batches):
-        for text in text_bytes(batch.column("text")):
-            if len(text) > most:
-                if held:
-                    yield head, held, 0
-                    held, size = [], 0
-                for at in range(0, len(text) - LENGTH + 1, most):
-                    yield row, [text[at : at + most + LENGTH - 1]], at
-                head = row + 1
+        for at, text in zip(batch.column("at").to_pylist(), text_bytes(batch.column("text")), strict=True):
+            if held and size + len(text) > MOST:
+                yield keys, held, 0
+                held, keys, size = [], [], 0
+            if len(text) > MOST:
+                for start in range(0, len(text) - LENGTH + 1, MOST):
+                    yield [at], [text[start : start + MOST + LENGTH - 1]], start
             else:
-                if not held:
-                    head = row
                 held.append(text)
+                keys.append(at)
                 size += len(text)
-                if size >= most:
-                    yield head, held, 0
-                    held, size = [], 0
-            row += 1
     if held:
-        yield head, held, 0
+        yield keys, held, 0
 
 
 def _emit_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    for head, texts, start in _blocks(batches):
+    digest = xxhash.xxh3_64_intdigest
+    for keys, texts, start in _blocks(batches):
         data = b"".join(texts)
         sizes = np.array([len(t) for t in texts])
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         a, b, p, gram = records(data, owner)
-        digest = xxhash.xxh3_64_intdigest
         whole = np.array(
             [digest(data[i : j + LENGTH]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.uint64
         )
@@ -132,7 +128,7 @@ def _emit_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         begin = (np.cumsum(sizes) - sizes)[text] if len(a) else a
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array((np.int64(part) << _ROW) + head + text.astype(np.int64)),
+                pa.array(np.array(keys, dtype=np.int64)[text]),
                 pa.array(p - begin + start),
                 pa.array((a - p).astype(np.int16)),
                 pa.array((b - p).astype(np.int16)),
@@ -144,7 +140,7 @@ def _emit_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Side:
-    """Rows for each input partition, written by Spark and read by that partition's task."""
+    """Rows by the key ``at`` of a text, written by Spark for each partition that wrote texts."""
 
     def __init__(self, rows: DataFrame, name: str):
         self.uri = fresh_path(rows.sparkSession, name)
@@ -154,39 +150,50 @@ class Side:
             "compression", "zstd"
         ).partitionBy("part").parquet(self.uri)
 
-    def read(self) -> dict[int, list[int]]:
-        """The task's rows as columns, and the rows of each text."""
-        store = Store(f"{self.uri}/part={TaskContext.get().partitionId()}")
+
+class _Places:
+    """A task's view of a ``Side``; the rows of one partition are held at a time."""
+
+    def __init__(self, side: Side):
+        self.uri, self.part, self.rows, self.by_key = side.uri, None, None, {}
+
+    def _load(self, part: int) -> None:
+        store = Store(f"{self.uri}/part={part}")
         try:
             names = [n for n in store.names() if n.endswith(".parquet")]
         except FileNotFoundError:
             names = []
+        self.part, self.by_key = part, {}
         self.rows = pa.concat_tables([pq.read_table(store.open(n)) for n in names]) if names else None
-        if self.rows is None:
-            return {}
-        at = self.rows.column("at").to_numpy() & ((1 << _ROW) - 1)
-        order = np.argsort(at, kind="stable")
-        rows, heads = np.unique(at[order], return_index=True)
-        return {r: order[i:j] for r, i, j in zip(rows.tolist(), heads, [*heads[1:], len(order)], strict=True)}
+        if self.rows is not None:
+            at = self.rows.column("at").to_numpy()
+            order = np.argsort(at, kind="stable")
+            keys, heads = np.unique(at[order], return_index=True)
+            self.by_key = {k: order[i:j] for k, i, j in zip(keys.tolist(), heads, [*heads[1:], len(order)], strict=True)}
+
+    def of(self, at: int) -> np.ndarray | None:
+        """The places of a text's rows in ``rows``."""
+        if at >> _ROW != self.part:
+            self._load(at >> _ROW)
+        return self.by_key.get(at)
 
 
 def _cut(side: Side):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_row = side.read()
-        row = 0
-        for batch in slices(batches):
-            mine = [(i, by_row[row + i]) for i in range(batch.num_rows) if row + i in by_row]
-            row += batch.num_rows
-            if not mine:
-                continue
-            texts = text_bytes(batch.column("text").take(pa.array([i for i, _ in mine])))
-            places = np.concatenate([x for _, x in mine])
-            picked = side.rows.take(pa.array(places))
-            owner = np.repeat(np.arange(len(mine)), [len(x) for _, x in mine]).tolist()
-            p, lo, hi = (picked.column(c).to_pylist() for c in ("p", "lo", "hi"))
-            found = [texts[o][a + x : a + y + LENGTH] for o, a, x, y in zip(owner, p, lo, hi, strict=True)]
-            columns = [picked.column(c).combine_chunks() for c in ("gram", "whole", "lo", "hi")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=["gram", "whole", "lo", "hi", "text"])
+        places = _Places(side)
+        for batch in slices(batches, 250):
+            parts = []
+            for at, text in zip(batch.column("at").to_pylist(), batch.column("text"), strict=True):
+                mine = places.of(at)
+                if mine is None:
+                    continue
+                picked, data = places.rows.take(pa.array(mine)), text.as_buffer().to_pybytes()
+                p, lo, hi = (picked.column(c).to_pylist() for c in ("p", "lo", "hi"))
+                found = [data[a + x : a + y + LENGTH] for a, x, y in zip(p, lo, hi, strict=True)]
+                columns = [picked.column(c).combine_chunks() for c in ("gram", "whole", "lo", "hi")]
+                parts.append(pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=["gram", "whole", "lo", "hi", "text"]))
+            if parts:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     return run
 
@@ -254,20 +261,75 @@ def _runs(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2)
 
 
+def _split(rows: list[dict], members: list[int], low: int, wide: int, masks: list[np.ndarray]):
+    """Parts (members, low, wide) of a bucket's windows at offsets [low, low + wide) that fit a block.
+
+    All windows that begin there have the bytes from the last offset to the end of the first
+    window in common, so equal ones agree in them. Windows at one offset are then equal
+    as a whole, and marked.
+    """
+    groups: dict[bytes, list[int]] = {}
+    for m in members:
+        lo, hi = rows[m]["lo"], rows[m]["hi"]
+        if lo < low + wide and hi >= low:
+            groups.setdefault(rows[m]["text"][low + wide - 1 - lo : low + LENGTH - lo], []).append(m)
+    for group in groups.values():
+        if len(group) == 1:
+            continue
+        if wide == 1:
+            for m in group:
+                masks[m][low - rows[m]["lo"]] = True
+        elif len(group) * (wide + LENGTH - 1) <= BLOCK:
+            yield group, low, wide
+        else:
+            yield from _split(rows, group, low, wide // 2, masks)
+            yield from _split(rows, group, low + wide // 2, wide - wide // 2, masks)
+
+
+def _repeated(rows: list[dict]) -> list[np.ndarray]:
+    """For each record of whole buckets (rows in the order of ``gram``), which windows stand in another one too."""
+    masks = [np.zeros(len(r["text"]) - LENGTH + 1, dtype=bool) for r in rows]
+    held: list[tuple[int, int, int, int]] = []  # (bucket, record, first window's offset, last one's)
+    size = number = 0
+
+    def sort() -> None:
+        texts = [rows[m]["text"][a - rows[m]["lo"] : b - rows[m]["lo"] + LENGTH] for _, m, a, b in held]
+        for (_, m, a, b), mask in zip(held, repeated_windows(texts, [h[2] for h in held], [h[0] for h in held]), strict=True):
+            masks[m][a - rows[m]["lo"] : b - rows[m]["lo"] + 1] |= mask
+        held.clear()
+
+    heads = [0, *(i for i in range(1, len(rows)) if rows[i]["gram"] != rows[i - 1]["gram"]), len(rows)]
+    for i, j in zip(heads[:-1], heads[1:], strict=True):
+        members = list(range(i, j))
+        low, high = min(r["lo"] for r in rows[i:j]), max(r["hi"] for r in rows[i:j])
+        fits = sum(len(r["text"]) for r in rows[i:j]) <= BLOCK
+        parts = [(members, low, high - low + 1)] if fits else _split(rows, members, low, high - low + 1, masks)
+        for group, first, wide in parts:
+            spans = [(m, max(rows[m]["lo"], first), min(rows[m]["hi"], first + wide - 1)) for m in group]
+            more = sum(b - a + LENGTH for _, a, b in spans)
+            if held and size + more > BLOCK:
+                sort()
+                size = 0
+            number += 1
+            size += more
+            held += [(number, m, a, b) for m, a, b in spans]
+    if held:
+        sort()
+    return masks
+
+
 _FOUND = "gram long, whole long, lo short, hi short, runs array<struct<x:int,y:int>>"
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records sorted by bucket -> the runs of repeated windows, as offsets from the anchor."""
     held: list[dict] = []
-    size = 0
 
     def flush(upto: int) -> pa.RecordBatch:
         nonlocal held
         mine, held = held[:upto], held[upto:]
-        found = repeated_windows([r["text"] for r in mine], [r["lo"] for r in mine], [r["gram"] for r in mine])
         out = []
-        for r, mask in zip(mine, found, strict=True):
+        for r, mask in zip(mine, _repeated(mine), strict=True):
             if mask.any():
                 runs = [{"x": int(a) + r["lo"], "y": int(b) - 1 + r["lo"]} for a, b in _runs(mask)]
                 out.append((r["gram"], r["whole"], r["lo"], r["hi"], runs))
@@ -278,8 +340,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in slices(batches, 2000):
         held += batch.to_pylist()
-        size = sum(len(r["text"]) for r in held)
-        if size >= BLOCK:
+        if sum(len(r["text"]) for r in held) >= BLOCK:
             # whole buckets only
             upto = next((i for i in range(len(held) - 1, 0, -1) if held[i]["gram"] != held[i - 1]["gram"]), 0)
             if upto:
@@ -304,20 +365,18 @@ def _digest_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _finish(side: Side, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_row = side.read()
-        begin, end = (side.rows.column(c).to_numpy() for c in ("begin", "end")) if side.rows else (None, None)
-        row = 0
-        for batch in slices(batches):
+        places = _Places(side)
+        for batch in slices(batches, 250):
             out = []
-            for text in text_bytes(batch.column("text")):
-                places, runs = by_row.get(row), []
-                row += 1
-                if places is None:
+            for at, text in zip(batch.column("at").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                mine, runs = places.of(at), []
+                if mine is None:
                     out.append((len(text), text, runs))
                     continue
+                begin, end = (places.rows.column(c).to_numpy()[mine] for c in ("begin", "end"))
                 marks = np.zeros(len(text) + 1, dtype=np.int32)
-                np.add.at(marks, begin[places], 1)
-                np.add.at(marks, end[places], -1)
+                np.add.at(marks, begin, 1)
+                np.add.at(marks, end, -1)
                 gone = np.cumsum(marks[:-1]) > 0
                 raw = np.frombuffer(text, dtype=np.uint8)
                 out.append((len(text), raw[~gone].tobytes(), _runs(gone).tolist()))
@@ -334,9 +393,8 @@ def _finish(side: Side, columns: list[str]):
     return run
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """(at, begin, end): byte ranges of ``docs``' texts to remove, by partition and row."""
-    texts = docs.select("text")
+def find_repeats(texts: DataFrame) -> DataFrame:
+    """``texts`` (at, text), a written table -> (at, begin, end): byte ranges to remove."""
     found = materialize(
         texts.mapInArrow(_emit_records, "at long, p long, lo short, hi short, gram long, whole long"), "records"
     )
@@ -349,8 +407,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     buckets = groups.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
     unsorted = groups.join(buckets.where("m > 1 and single > 0").select("gram", "m"), "gram")
     unsorted = unsorted.select(*key, "m", F.col("place.at").alias("at"), F.col("place.p").alias("p"))
-    side = Side(unsorted, "bucket-places")
-    cut = texts.mapInArrow(_cut(side), "gram long, whole long, lo short, hi short, text binary")
+    cut = texts.mapInArrow(_cut(Side(unsorted, "bucket-places")), "gram long, whole long, lo short, hi short, text binary")
     hot = buckets.where(F.col("m") > LIMIT).select("gram")
     if hot.isEmpty():
         cool, extra = cut, None
@@ -373,13 +430,17 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with n_bytes, kept_bytes (what is left) and removed (byte ranges)."""
-    columns = [c for c in docs.columns if c not in ("text", "n_bytes", "kept_bytes", "removed")]
-    docs = docs.select(*columns, "text")
-    side = Side(find_repeats(docs), "repeats")
+    """``docs`` without text, with n_bytes, kept_bytes (what is left) and removed (byte ranges).
+
+    Columns of ``docs`` with these three names, or named ``at``, are left out.
+    """
+    columns = [c for c in docs.columns if c not in ("text", "n_bytes", "kept_bytes", "removed", "at")]
+    # the key of a row is stored with it, so it does not matter how later passes split the table
+    keyed = materialize(docs.select(*columns, "text", F.monotonically_increasing_id().alias("at")), "dedup-input")
+    side = Side(find_repeats(keyed.select("at", "text")), "repeats")
     added = {"n_bytes": "bigint", "kept_bytes": "binary", "removed": "array<array<bigint>>"}
     schema = docs.select(*columns).withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
-    return docs.mapInArrow(_finish(side, columns), schema)
+    return keyed.mapInArrow(_finish(side, columns), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

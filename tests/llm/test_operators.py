@@ -333,9 +333,11 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [suffixes.LIMIT, 1])
-def test_suffixes(spark, limit, monkeypatch):
-    monkeypatch.setattr(suffixes, "LIMIT", limit)
+@pytest.mark.parametrize(("limit", "most", "block"), [(suffixes.LIMIT, suffixes.MOST, suffixes.BLOCK), (1, 512, 1 << 20)])
+def test_suffixes(spark, limit, most, block, monkeypatch):
+    """Whole; and with every bucket counted by digests and texts in segments (workers see the patched values)."""
+    for name, value in (("LIMIT", limit), ("MOST", most), ("BLOCK", block)):
+        monkeypatch.setattr(suffixes, name, value)
     random = np.random.default_rng(9)
     noise = ["".join(map(chr, random.integers(97, 123, 900))) for _ in range(8)]
     shared = noise[0][:350]
@@ -349,6 +351,52 @@ def test_suffixes(spark, limit, monkeypatch):
     assert Counter(tuple(r) for r in suffixes.report(df).collect()) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("block", [400, 3000, 1 << 20])
+def test_suffix_blocks(block, monkeypatch):
+    """Buckets that do not fit a block are split; records of many contexts around one passage."""
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    random = np.random.default_rng(3)
+    noise = lambda n: bytes(random.integers(97, 100, n, dtype=np.uint8))
+    rows = []
+    for gram in range(4):
+        core, tails = noise(190), [noise(60) for _ in range(3)]
+        for i in range(12):
+            lo, hi = sorted(random.integers(-150, 1, 2).tolist())
+            # the bytes of offsets -150 to 249 from the anchor: contexts agree near it
+            around = noise(100) + core[:110] + core[110:] + tails[i % 3] + noise(50)
+            if i % 4 == 3:
+                around = rows[-1]["around"][:180] + around[180:]
+            rows.append({"gram": gram, "lo": lo, "hi": hi, "around": around, "text": around[lo + 150 : hi + 150 + 200]})
+    found = suffixes._repeated(rows)
+    for gram in range(4):
+        mine = [(r, m) for r, m in zip(rows, found, strict=True) if r["gram"] == gram]
+        seen = Counter((r["lo"] + i, r["text"][i : i + 200]) for r, _ in mine for i in range(len(r["text"]) - 199))
+        for r, mask in mine:
+            assert mask.tolist() == [seen[r["lo"] + i, r["text"][i : i + 200]] > 1 for i in range(len(r["text"]) - 199)]
+    assert any(m.any() for m in found) and not all(m.all() for m in found)
+
+
+def test_suffix_segments(monkeypatch):
+    """Records of texts in segments are those of whole texts, but for the segments' edges."""
+    import pyarrow as pa
+
+    random = np.random.default_rng(4)
+    texts = ["".join(map(chr, random.integers(97, 123, n))) for n in (900, 10, 2600, 300, 0, 201)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50, 56)), pa.array(texts)], names=["at", "text"])
+
+    def windows(most):
+        monkeypatch.setattr(suffixes, "MOST", most)
+        out = []
+        for b in suffixes._emit_records([batch]):
+            for r in b.to_pylist():
+                out += [(r["at"], r["p"] + d, r["p"], r["gram"]) for d in range(r["lo"], r["hi"] + 1)]
+        return sorted(out)
+
+    every = windows(1 << 20)
+    assert [(a, i) for a, i, _, _ in every] == [(50 + k, i) for k, t in enumerate(texts) for i in range(len(t) - 199)]
+    assert every == windows(700) == windows(1000)
+
+
 def test_media(rows, docs, spark):
     root = fresh_path(spark, "media-test")
     found = media.report(docs, root).collect()
