@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +57,39 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that a worker holds few texts in decoded form at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and bytes of text (or one row), so that a worker decodes few at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if "text" in batch.schema.names:
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        else:
+            lengths = np.zeros(batch.num_rows, dtype=np.int64)
+        upto = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            most = int(np.searchsorted(upto, before + size, side="right")) - at
+            yield batch.slice(at, max(1, min(rows, most)))
+            at += max(1, min(rows, most))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not all C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_memos: dict[str, dict] = {}
+
+
+def memo(name: str) -> dict:
+    """A worker's cache for one operator; those of others go, so a reused worker holds one operator's."""
+    if name not in _memos:
+        _memos.clear()
+        _memos[name] = {}
+    return _memos[name]
 
 
 def remainder(doc_id: str, modulus: int):

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
-from .common import LOWER, materialize, slices, text_bytes, unused
+from .common import LOWER, materialize, memo, slices, text_bytes, unused
 from .components import components
 from .ftrl import mix
 
@@ -47,7 +47,6 @@ _PLANE = HASHES // 64
 _random = np.random.default_rng(20240229)
 _A = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-_seen: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -73,13 +72,14 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     tokens = text.translate(LOWER).split()
     if not tokens:
         return np.zeros(0, dtype=np.uint64)
-    found = list(map(_seen.get, tokens))
+    seen = memo("minhash")
+    found = list(map(seen.get, tokens))
     if None in found:
-        if len(_seen) > 300_000:
-            _seen.clear()
+        if len(seen) > 300_000:
+            seen.clear()
         for i, h in enumerate(found):
             if h is None:
-                found[i] = _seen[tokens[i]] = xxhash.xxh3_64_intdigest(tokens[i])
+                found[i] = seen[tokens[i]] = xxhash.xxh3_64_intdigest(tokens[i])
     h = np.array(found, dtype=np.uint64)
     n = min(words, len(h))
     return np.unique(mix(n, *(h[i : len(h) - n + 1 + i] for i in range(n))))

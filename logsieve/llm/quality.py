@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, remainder
+from .common import LOWER, memo, remainder
 from .ftrl import Ftrl, add_score, fit, fold, mix
 
 FOLDS = 5
@@ -30,8 +30,7 @@ MODEL = Ftrl(alpha=0.5, l1=0.05, l2=0.01, epochs=3, max_rows=12_000)
 #: A word, or a run of up to three of one other character.
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|([^\s0-9A-Za-z\x80-\xff])\1{0,2}")
 _SCALE = 10.0
-#: Hashes of the tokens of a chunk between white space, packed; kept by each worker.
-_seen: dict[bytes, bytes] = {}
+#: The hashes of the tokens of a chunk between white space are kept by each worker, packed.
 _KEPT, _LONGEST = 300_000, 64
 
 
@@ -57,15 +56,16 @@ def _packed(chunk: bytes) -> bytes:
 
 
 def _look_up(chunks: list[bytes]) -> list[bytes]:
-    found = list(map(_seen.get, chunks))
+    seen = memo("quality")
+    found = list(map(seen.get, chunks))
     if None in found:
-        if len(_seen) > _KEPT:
-            _seen.clear()
+        if len(seen) > _KEPT:
+            seen.clear()
         for i, x in enumerate(found):
             if x is None:
                 found[i] = _packed(chunks[i])
                 if len(chunks[i]) <= _LONGEST:
-                    _seen[chunks[i]] = found[i]
+                    seen[chunks[i]] = found[i]
     return found
 
 

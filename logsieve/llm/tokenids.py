@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, slices
+from .common import fresh_path, materialize, memo, release, slices
 from .storage import Store, attempt_name
 
 
@@ -113,14 +113,12 @@ class Tokenizer:
         return (self._word(first, False) if first else b"") + b"".join(found)
 
 
-_tokenizers: dict[str, Tokenizer] = {}
-
-
 def tokenizer(vocabulary: str) -> Tokenizer:
     """One for each worker process."""
-    if vocabulary not in _tokenizers:
-        _tokenizers[vocabulary] = Tokenizer(vocabulary)
-    return _tokenizers[vocabulary]
+    kept = memo("tokenids")
+    if vocabulary not in kept:
+        kept[vocabulary] = Tokenizer(vocabulary)
+    return kept[vocabulary]
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = 6, inverse: bool = False) -> np.ndarray:
@@ -239,6 +237,7 @@ def _deal(packing: Packing, n: int, hold: int = 16 << 20):
                     size = 0
         if held:
             yield flush()
+        release()
 
     return run
 
@@ -286,6 +285,7 @@ def _write(packing: Packing, n: int, root: str):
                     about[j] = facts
         if now is not None:
             yield finish()
+        release()
 
     return run
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import memo, remainder
 from .decontaminate import words_of
 from .ftrl import Ftrl, add_score, fit, fold, mix
 
@@ -25,22 +25,21 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 MODEL = Ftrl(alpha=2.0, l1=6.0, l2=0.1, epochs=6, max_rows=12_000, binary=True)
 
-_seen: dict[bytes, int] = {}
-
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes: list[int] = []
     counts = []
-    get = _seen.get
+    seen = memo("toxicity")
+    get = seen.get
     for text in texts:
         words = words_of(text)
         found = list(map(get, words))
         if None in found:
-            if len(_seen) > 300_000:
-                _seen.clear()
+            if len(seen) > 300_000:
+                seen.clear()
             for i, h in enumerate(found):
                 if h is None:
-                    found[i] = _seen[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+                    found[i] = seen[words[i]] = xxhash.xxh3_64_intdigest(words[i])
         hashes += found
         counts.append(len(words))
     n = np.array(counts, dtype=np.int64)
