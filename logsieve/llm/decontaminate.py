@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, text_bytes
+from .common import materialize, slices, text_bytes, unused
 
 N_WORDS = 13
 #: A document is contaminated when 1 / SHARE_DIVISOR of its words are hit.
@@ -47,23 +47,42 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of some items, by length: sorted hashes, their word ids, their items."""
+    """Windows of some items, by length: sorted hashes, where each window begins among all items' word ids, its item."""
 
     def __init__(self, items: Iterable[tuple[str | None, bytes]], n: int = N_WORDS):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = {}
+        self.names: list[str | None] = []
+        parts, sizes = [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            size = min(n, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), set()).add(item)
+            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
+            if words:
+                self.names.append(item)
+                parts.append(np.array(words, dtype=np.int32))
+                sizes.append(len(words))
+        self.ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        sizes = np.array(sizes, dtype=np.int64)
+        heads = np.cumsum(sizes) - sizes
         self.tables = []
-        for size, windows in sorted(found.items()):
-            keys = np.array(list(windows), dtype=np.int64).reshape(len(windows), size)
-            hashes = self.hash(keys)
-            order = np.argsort(hashes, kind="stable")
-            names = [sorted(x for x in s if x is not None) for s in windows.values()]
-            self.tables.append((size, hashes[order], keys[order], [names[i] for i in order]))
+        for size in np.unique(np.minimum(sizes, n)).tolist():
+            mine = np.flatnonzero(np.minimum(sizes, n) == size)
+            counts = sizes[mine] - size + 1
+            owner = np.repeat(mine, counts).astype(np.int32)
+            starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + heads[owner]
+            hashes = self.hash_at(starts, size)
+            order = np.lexsort((owner, hashes))
+            hashes, starts, owner = hashes[order], starts[order], owner[order]
+            # a window that an item repeats is there once
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            new[1:] |= (self.ids[starts[1:, None] + np.arange(size)] != self.ids[starts[:-1, None] + np.arange(size)]).any(axis=1)
+            self.tables.append((size, hashes[new], starts[new], owner[new]))
+
+    def hash_at(self, starts: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for i in range(size):
+            out = (out ^ self.ids[starts + i].astype(np.uint64)) * _BASE
+            out ^= out >> np.uint64(29)
+        return out
 
     @staticmethod
     def hash(keys: np.ndarray) -> np.ndarray:
@@ -90,28 +109,27 @@ class WindowSet:
         marks = np.zeros(n + 1, dtype=np.int32)
         heads = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64) + 1)])
         items: dict[int, set] = {}
-        for size, hashes, keys, names in self.tables:
+        for size, hashes, windows, owner in self.tables:
             ends = np.flatnonzero(at - gap >= size)
             for part in np.array_split(ends, len(ends) // 200_000 + 1):
                 starts = part - size + 1
-                grams = ids[starts[:, None] + np.arange(size)]
-                mine = self.hash(grams)
-                low = np.searchsorted(hashes, mine)
-                low[low == len(hashes)] = 0
-                same = hashes[low] == mine
-                starts, grams, low, mine = starts[same], grams[same], low[same], mine[same]
-                # different windows with one hash lie side by side
-                while len(starts):
-                    ok = (keys[low] == grams).all(axis=1)
-                    np.add.at(marks, starts[ok], 1)
-                    np.add.at(marks, starts[ok] + size, -1)
-                    docs = np.searchsorted(heads, starts[ok], side="right") - 1
-                    for doc, row in set(zip(docs.tolist(), low[ok].tolist(), strict=True)):
-                        items.setdefault(doc, set()).update(names[row])
-                    low = low + 1
-                    more = ~ok & (low < len(hashes))
-                    more[more] = hashes[low[more]] == mine[more]
-                    starts, grams, low, mine = starts[more], grams[more], low[more], mine[more]
+                mine = self.hash(ids[starts[:, None] + np.arange(size)])
+                low = np.searchsorted(hashes, mine, side="left")
+                times = np.searchsorted(hashes, mine, side="right") - low
+                # every window of the same hash: of other items, or another one
+                found = np.repeat(starts, times)
+                row = np.arange(len(found)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+                for some in np.array_split(np.arange(len(found)), len(found) // 200_000 + 1):
+                    f, r = found[some], row[some]
+                    ok = (ids[f[:, None] + np.arange(size)] == self.ids[windows[r][:, None] + np.arange(size)]).all(axis=1)
+                    f, r = f[ok], r[ok]
+                    np.add.at(marks, f, 1)
+                    np.add.at(marks, f + size, -1)
+                    docs = np.searchsorted(heads, f, side="right") - 1
+                    for doc, item in np.unique(np.stack([docs, owner[r]], axis=1), axis=0).tolist():
+                        items.setdefault(doc, set())
+                        if self.names[item] is not None:
+                            items[doc].add(self.names[item])
         hit = np.cumsum(marks[:n]) > 0
         return np.array(counts, dtype=np.int64), np.delete(hit, np.append(heads[:-1], n - 1)), items
 
@@ -121,14 +139,18 @@ def _runs(mask: np.ndarray) -> list[list[int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-def _scanner(windows, columns: list[str], schema: T.StructType):
-    """Adds what ``windows`` finds to the columns ``_hits`` (word ranges) and ``_items``."""
+#: Names of what is added to a row.
+ADDED = ("_hits", "_items", "_n_words", "_n_hit")
+
+
+def _scanner(windows, columns: list[str], added: tuple[str, ...]):
+    """Adds what ``windows`` finds to the columns of hits (word ranges) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = windows.value
         for batch in slices(batches):
             counts, hit, items = found.scan(text_bytes(batch.column("text")))
-            before = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()
+            before = batch.column(added[0]).to_pylist(), batch.column(added[1]).to_pylist()
             ends = np.cumsum(counts)
             hits, names, total = [], [], []
             for i, (n, end) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
@@ -148,7 +170,7 @@ def _scanner(windows, columns: list[str], schema: T.StructType):
                     pa.array(counts, pa.int64()),
                     pa.array(total, pa.int64()),
                 ],
-                names=[*columns, "_hits", "_items", "_n_words", "_n_hit"],
+                names=[*columns, *added],
             )
 
     return run
@@ -159,36 +181,29 @@ def find_hits(
     benchmark: DataFrame,
     n: int = N_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    added: tuple[str, ...] = ADDED,
 ) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_n_hit``, ``_hits`` (word ranges) and ``_items`` (sorted)."""
+    """``docs`` and, under the names ``added``: hits (word ranges), items (sorted), number of words, of hit words.
+
+    Columns of ``docs`` with these names are replaced.
+    """
     spark = docs.sparkSession
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")
     ).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes))
+    docs = docs.drop(*added)
     columns = docs.columns
-    schema = T.StructType(
-        docs.schema.fields
-        + [
-            T.StructField("_hits", T.ArrayType(T.ArrayType(T.LongType()))),
-            T.StructField("_items", T.ArrayType(T.StringType())),
-            T.StructField("_n_words", T.LongType()),
-            T.StructField("_n_hit", T.LongType()),
-        ]
-    )
-    out = docs.withColumns(
-        {
-            "_hits": F.lit(None).cast("array<array<bigint>>"),
-            "_items": F.lit(None).cast("array<string>"),
-        }
-    )
+    kinds = (T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType()), T.LongType(), T.LongType())
+    schema = T.StructType(docs.schema.fields + [T.StructField(c, k) for c, k in zip(added, kinds, strict=True)])
+    out = docs.withColumns({c: F.lit(None).cast(k) for c, k in zip(added[:2], kinds, strict=False)})
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         windows = WindowSet(((r.item, bytes(r.text)) for r in rows.toLocalIterator()), n)
-        found = out.mapInArrow(_scanner(spark.sparkContext.broadcast(windows), columns, schema), schema)
+        found = out.mapInArrow(_scanner(spark.sparkContext.broadcast(windows), columns, added), schema)
         # one block in memory at a time: a further pass starts from a written table
-        out = materialize(found, "decontaminate").drop("_n_words", "_n_hit") if block + 1 < blocks else found
+        out = materialize(found, "decontaminate").drop(*added[2:]) if block + 1 < blocks else found
     return out
 
 
@@ -198,7 +213,8 @@ def contaminated(n_hit, n_words, divisor: int = SHARE_DIVISOR):
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     """The documents that are not contaminated, as they were."""
-    keep = find_hits(docs, benchmark, n).where(~contaminated(F.col("_n_hit"), F.col("_n_words")))
+    added = tuple(unused(docs, *ADDED))
+    keep = find_hits(docs, benchmark, n, added=added).where(~contaminated(F.col(added[3]), F.col(added[2])))
     return keep.select(*docs.columns)
 
 
@@ -220,8 +236,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> Dat
 
         return texts.combine(hits, one)
 
-    found = find_hits(docs, benchmark, n)
-    return found.select(*[cut("text", "_hits").alias(c) if c == "text" else c for c in docs.columns])
+    added = tuple(unused(docs, *ADDED))
+    found = find_hits(docs, benchmark, n, added=added)
+    return found.select(*[cut("text", added[0]).alias(c) if c == "text" else c for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:

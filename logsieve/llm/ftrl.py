@@ -76,8 +76,9 @@ def _weights(z: np.ndarray, n: np.ndarray, model: Ftrl) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, features: Features, model: Ftrl) -> np.ndarray:
     """Weights from the labelled rows for which ``learn`` (over doc_id) holds.
 
-    Rows with a null id or label are passed over; a repeated id takes its largest
-    label. Without labelled rows all weights are 0, so every score is 0.5.
+    Rows with a null id or label are passed over; a repeated id takes its largest label and,
+    of its texts, the one with the least hash. Without labelled rows all weights are
+    0, so every score is 0.5.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
@@ -86,19 +87,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, features:
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(model.max_rows)
     )
+    # at most max_rows rows, however often an id stands in the documents
     sample = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_label").alias("_label"))
+    sample = sample.select(F.xxhash64("_id").alias("_order"), "text", "_label")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             rows = rows_of(features, text_bytes(batch.column("text")), model.binary)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id").cast(pa.int64()),
+                    batch.column("_order"),
                     batch.column("_label"),
                     pa.array([i for i, _ in rows], pa.list_(pa.int32())),
                     pa.array([v[:0] if model.binary else v for _, v in rows], pa.list_(pa.float32())),
                 ],
-                names=["_id", "_label", "ids", "vals"],
+                names=["_order", "_label", "ids", "vals"],
             )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, features:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
     weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
-    rows = sample.mapInArrow(sparse, "_id long, _label int, ids array<int>, vals array<float>")
+    rows = sample.mapInArrow(sparse, "_order long, _label int, ids array<int>, vals array<float>")
     # at most max_rows sparse rows: one task takes them in the order of a hash
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id", "_label"), "_id", "ids")
+    one = rows.repartition(1).sortWithinPartitions("_order", "_label", "ids")
     for r in one.mapInArrow(train, "at int, w float").toLocalIterator():
         weights[r.at] = r.w
     return weights
@@ -136,13 +140,19 @@ def score_texts(texts: list[bytes], features: Features, weights: np.ndarray, bin
 
 
 def add_score(docs: DataFrame, weights: np.ndarray, features: Features, binary: bool, name: str = "score") -> DataFrame:
-    """``docs`` and their score, in one narrow pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    """``docs`` and their score (in place of a column so named), in one narrow pass.
+
+    The weights that are not 0 are sent, with their places.
+    """
+    places = np.flatnonzero(weights).astype(np.int32)
+    sent = docs.sparkSession.sparkContext.broadcast((places, weights[places]))
     columns = [c for c in docs.columns if c != name]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((1 << BITS) + 1, dtype=np.float32)
+        own[sent.value[0]] = sent.value[1]
         for batch in slices(batches, 512):
-            found = score_texts(text_bytes(batch.column("text")), features, sent.value, binary)
+            found = score_texts(text_bytes(batch.column("text")), features, own, binary)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)], names=[*columns, name])
 
     kept = docs.select(*columns)

@@ -177,7 +177,11 @@ def describe(payload: bytes, width: int, height: int) -> str:
 def report(docs: DataFrame, root: str | None = None) -> DataFrame:
     """One row per document: what is stored, and what the stored bytes give when read back."""
     root = root or fresh_path(docs.sparkSession, "media")
-    rows = with_size(store(docs.select("doc_id", "text"), root), root)
+    rows = store(docs.select("doc_id", "text"), root)
+    # the rows are few bytes, what they point to is not: a task for each shard, in the shard's order
+    shards = rows.select("shard").distinct().count()
+    rows = rows.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset")
+    rows = with_size(rows, root)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -199,13 +203,14 @@ def report(docs: DataFrame, root: str | None = None) -> DataFrame:
                 out.append(known[digest])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)),
-                 batch.column("digest"), batch.column("shard"), batch.column("offset"), batch.column("length")],
-                names=["doc_id", "n_bytes", *names, "digest", "shard", "offset", "length"],
+                 batch.column("digest"), batch.column("shard"), batch.column("offset"), batch.column("length"),
+                 pa.array([root] * batch.num_rows, pa.string())],
+                names=["doc_id", "n_bytes", *names, "digest", "shard", "offset", "length", "folder"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
-        " media_sha256 string, feature string, digest string, shard string, offset long, length long"
+        " media_sha256 string, feature string, digest string, shard string, offset long, length long, folder string"
     )
     return rows.mapInArrow(run, schema)

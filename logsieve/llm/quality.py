@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, memo, remainder
+from .common import LOWER, memo, remainder, unused
 from .ftrl import Ftrl, add_score, fit, fold, mix
 
 FOLDS = 5
@@ -115,5 +115,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, as they were."""
-    scored = score(docs, train(docs, labels), "_quality")
-    return scored.where(F.col("_quality") >= threshold).select(*docs.columns)
+    (name,) = unused(docs, "_quality")
+    scored = score(docs, train(docs, labels), name)
+    return scored.where(F.col(name) >= threshold).select(*docs.columns)

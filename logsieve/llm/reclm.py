@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import LOWER, materialize, remainder, slices, text_bytes
+from .common import LOWER, materialize, remainder, slices, text_bytes, unused
 
 FOLDS, HELD_OUT = 5, 1
 #: Bounds: words sent to the executors, and texts of the first model.
@@ -189,7 +189,9 @@ def train(training: DataFrame, known, warm_rows: int = WARM_ROWS) -> np.ndarray:
     context = training.sparkSession.sparkContext
     chosen = training.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(warm_rows)
     few = training.join(F.broadcast(chosen.distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = few.select("doc_id", "text").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    # of a repeated id one text, so that they are not more than warm_rows
+    few = few.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = few.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     first = one.select("text").mapInArrow(_learn(known, None, 0.1), _MODEL).collect()
     if not first:
         return gru.start(known.value.frequencies)
@@ -200,7 +202,7 @@ def train(training: DataFrame, known, warm_rows: int = WARM_ROWS) -> np.ndarray:
     return np.frombuffer(bytes(mean[0].weights), dtype=np.float32)
 
 
-def _score(known, weights, columns: list[str]):
+def _score(known, weights, columns: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = known.value, weights.value
         part, row = TaskContext.get().partitionId(), 0
@@ -225,7 +227,7 @@ def _score(known, weights, columns: list[str]):
                         pa.array([f[4] for f in mine], pa.list_(pa.binary())),
                         pa.array([f[5] for f in mine], pa.list_(pa.int32())),
                     ],
-                    names=[*columns, "_row", "n_tokens", "n_known", "base", "model", "words", "times"],
+                    names=[*columns, *added],
                 )
                 at += batch.num_rows
                 row += batch.num_rows
@@ -255,34 +257,36 @@ def _score(known, weights, columns: list[str]):
 
 
 def score(docs: DataFrame, counts: DataFrame, known: Known, weights: np.ndarray) -> DataFrame:
-    """``docs`` (without text) and n_tokens, n_known, train_tokens, base_score, score."""
+    """``docs`` (without text) and n_tokens, n_known, train_tokens, base_score, score, which replace columns so named."""
     context = docs.sparkSession.sparkContext
-    added = {
-        "_row": "bigint", "n_tokens": "bigint", "n_known": "bigint", "base": "double", "model": "double",
-        "words": "array<binary>", "times": "array<int>",
-    }
-    columns = [c for c in docs.columns if c != "text" and c not in added]
-    schema = docs.select(*columns).withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
-    run = _score(context.broadcast(known), context.broadcast(weights), columns)
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    columns = [c for c in docs.columns if c != "text" and c not in results]
+    kinds = ("bigint", "bigint", "bigint", "double", "double", "array<binary>", "array<int>")
+    added = unused(docs, "_row", "_tokens", "_known", "_base", "_model", "_words", "_times")
+    row, n_tokens, n_known, base, model, words, times = added
+    schema = docs.select(*columns).withColumns({c: F.lit(None).cast(t) for c, t in zip(added, kinds, strict=True)}).schema
+    run = _score(context.broadcast(known), context.broadcast(weights), columns, added)
     rows = materialize(docs.select(*columns, "text").mapInArrow(run, schema), "scores")
     # words that were not sent are rare, so no join key is hot
-    rare = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", "x.words", "x.times")
-    found = rare.join(counts.select(F.col("word").alias("words"), "c"), "words", "left")
+    pairs = F.arrays_zip(F.col(words).alias("word"), F.col(times).alias("times"))
+    rare = rows.select(F.col(row).alias("at"), F.explode(pairs).alias("x")).select("at", "x.word", "x.times")
+    found = rare.join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
-    sums = found.groupBy("_row").agg(
-        F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
+    at, more, more_known = unused(rows, "_at", "_more", "_more_known")
+    sums = found.groupBy(F.col("at").alias(at)).agg(
+        F.sum(F.col("times") * F.log10(c + 0.5)).alias(more),
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias(more_known),
     )
-    out = rows.drop("words", "times").join(sums, "_row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    out = rows.drop(words, times).join(sums, F.col(row) == F.col(at), "left")
+    more = F.coalesce(more, F.lit(0.0))
     scale = math.log10(known.total + 0.5 * (known.distinct + 1))
     return out.select(
         *columns,
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.col(n_tokens).alias("n_tokens"),
+        (F.col(n_known) + F.coalesce(more_known, F.lit(0))).alias("n_known"),
         F.lit(known.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col(base) + more - F.col(n_tokens) * F.lit(scale)).alias("base_score"),
+        (F.col(model) + more).alias("score"),
     )
 
 

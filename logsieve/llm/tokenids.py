@@ -23,9 +23,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ class Tokenizer:
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids are written with 16 bits; the vocabulary has larger ones")
         self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.after_blank: dict[str, bytes] = {}
         self.alone: dict[str, bytes] = {}
@@ -147,7 +150,7 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6, inverse: bool
     return out.astype(np.int64)
 
 
-_SEQUENCES = "part int, first long, n int, tokens array<int>, first_doc array<long>, docs array<int>, payload binary"
+_SEQUENCES = "part int, first long, n int, tokens array<int>, first_doc array<{}>, docs array<int>, payload binary"
 
 
 def _pack(packing: Packing):
@@ -157,7 +160,8 @@ def _pack(packing: Packing):
         own, part = tokenizer(packing.vocabulary), TaskContext.get().partitionId()
         squeeze = zstandard.ZstdCompressor(level=3)
         pending, size, number = bytearray(), packing.stride, 0
-        heads: list[tuple[int, int | None]] = []  # (byte at which a document begins, its id)
+        heads: list[tuple] = []  # (byte at which a document begins, its id)
+        kind = pa.null()
 
         def block(count: int, tokens: list[int]) -> pa.RecordBatch:
             nonlocal pending, heads, number
@@ -174,10 +178,11 @@ def _pack(packing: Packing):
             number += count
             last = np.searchsorted(starts, count * size, side="right") - 1
             heads = [(at - count * size, d) for at, d in heads[last:]]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(kind), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in slices(batches):
+            kind = batch.schema.field("doc_id").type
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 heads.append((len(pending), doc))
                 pending += own.encode(text or "")
@@ -194,7 +199,7 @@ def _pack(packing: Packing):
     return run
 
 
-_MOVED = "shard long, slots array<long>, tokens array<int>, first_doc array<long>, docs array<int>, payload binary"
+_MOVED = "shard long, slots array<long>, tokens array<int>, first_doc array<{}>, docs array<int>, payload binary"
 
 
 def _deal(packing: Packing, n: int, hold: int = 16 << 20):
@@ -205,9 +210,11 @@ def _deal(packing: Packing, n: int, hold: int = 16 << 20):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
+            first = np.empty(sum(len(h[3]) for h in held), dtype=object)
+            first[:] = [x for h in held for x in h[3]]
             slots = np.concatenate([h[0] for h in held])
             ids = np.concatenate([h[1] for h in held])
-            tokens, first, docs = (np.concatenate([np.array(h[i], dtype=t) for h in held]) for i, t in ((2, np.int32), (3, object), (4, np.int32)))
+            tokens, docs = (np.concatenate([np.array(h[i], dtype=np.int32) for h in held]) for i in (2, 4))
             held.clear()
             order = np.argsort(slots)
             shards = slots[order] // packing.per_shard
@@ -218,15 +225,16 @@ def _deal(packing: Packing, n: int, hold: int = 16 << 20):
                     pa.array([int(slots[p[0]]) // packing.per_shard for p in parts], pa.int64()),
                     pa.array([slots[p] for p in parts], pa.list_(pa.int64())),
                     pa.array([tokens[p] for p in parts], pa.list_(pa.int32())),
-                    pa.array([first[p].tolist() for p in parts], pa.list_(pa.int64())),
+                    pa.array([first[p].tolist() for p in parts], kind),
                     pa.array([docs[p] for p in parts], pa.list_(pa.int32())),
                     pa.array([squeeze.compress(ids[p].tobytes()) for p in parts], pa.binary()),
                 ],
                 names=["shard", "slots", "tokens", "first_doc", "docs", "payload"],
             )
 
-        size = 0
+        size, kind = 0, None
         for batch in batches:
+            kind = batch.schema.field("first_doc").type
             for row in batch.to_pylist():
                 index = row["start"] + row["first"] + np.arange(row["n"])
                 ids = np.frombuffer(expand.decompress(row["payload"]), dtype=np.uint16).reshape(-1, packing.length)
@@ -242,7 +250,7 @@ def _deal(packing: Packing, n: int, hold: int = 16 << 20):
     return run
 
 
-_ROWS = "slot long, shard long, file string, byte_offset long, n_tokens int, first_doc_id long, n_docs int, ids_sha256 string"
+_ROWS = "slot long, shard long, file string, byte_offset long, n_tokens int, first_doc_id {}, n_docs int, ids_sha256 string"
 
 
 def _write(packing: Packing, n: int, root: str):
@@ -250,7 +258,7 @@ def _write(packing: Packing, n: int, root: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, expand = Store(root), zstandard.ZstdDecompressor()
-        now, data, about = None, None, None
+        now, data, about, kind = None, None, None, None
 
         def finish() -> pa.RecordBatch:
             if any(x is None for x in about):
@@ -265,12 +273,13 @@ def _write(packing: Packing, n: int, root: str):
                 [
                     pa.array(np.arange(base, base + k)), pa.array([now] * k, pa.int64()), pa.array([name] * k),
                     pa.array(np.arange(k) * packing.stride), pa.array([a[0] for a in about], pa.int32()),
-                    pa.array([a[1] for a in about], pa.int64()), pa.array([a[2] for a in about], pa.int32()), pa.array(sums),
+                    pa.array([a[1] for a in about], kind), pa.array([a[2] for a in about], pa.int32()), pa.array(sums),
                 ],
                 names=["slot", "shard", "file", "byte_offset", "n_tokens", "first_doc_id", "n_docs", "ids_sha256"],
             )
 
         for batch in batches:
+            kind = batch.schema.field("first_doc").type.value_type
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if row["shard"] != now:
@@ -291,24 +300,33 @@ def _write(packing: Packing, n: int, root: str):
 
 
 def write_shards(docs: DataFrame, packing: Packing = Packing(), root: str | None = None, max_tasks: int = 20_000) -> DataFrame:
-    """Write shards under ``root`` when evaluated; one row for each sequence, in its shard's order.
+    """Write shards under ``root``; one row for each sequence, in its shard's order.
 
-    ``max_tasks`` bounds the number of tasks, not of shards: a task then writes several.
+    The rows name their file and ``root``, where ``manifest.json`` has what a reader needs.
+    ``first_doc_id`` has the ids' own type. ``max_tasks`` bounds the number of tasks, not of
+    shards: a task then writes several.
     """
     spark = docs.sparkSession
     root = root or fresh_path(spark, "token-ids")
     Store(root).make()
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = materialize(source.mapInArrow(_pack(packing), _SEQUENCES), "sequences")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    blocks = materialize(source.mapInArrow(_pack(packing), _SEQUENCES.format(kind)), "sequences")
     # a row for each input partition
     counts = materialize(blocks.groupBy("part").agg(F.sum("n").alias("k")), "counts")
     n = counts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     starts = counts.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("start"))
     shards = max(1, -(-n // packing.per_shard))
     tasks = min(shards, max_tasks)
-    moved = blocks.join(F.broadcast(starts), "part").mapInArrow(_deal(packing, n), _MOVED)
+    moved = blocks.join(F.broadcast(starts), "part").mapInArrow(_deal(packing, n), _MOVED.format(kind))
     placed = moved.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
-    return placed.sortWithinPartitions("shard").mapInArrow(_write(packing, n, root), _ROWS)
+    rows = placed.sortWithinPartitions("shard").mapInArrow(_write(packing, n, root), _ROWS.format(kind))
+    # written once: reading the result again does not write the shards anew
+    rows = materialize(rows.withColumn("folder", F.lit(root)), "shard-rows")
+    with Store(root).create("manifest.json") as out:
+        about = {**asdict(packing), "stride": packing.stride, "sequences": n, "shards": shards if n else 0, "id_bytes": 2}
+        out.write(json.dumps(about, sort_keys=True).encode())
+    return rows
 
 
 def read_slots(manifest: DataFrame, root: str, start: int = 0, packing: Packing = Packing()) -> Iterator[tuple[int, np.ndarray]]:
