@@ -156,9 +156,9 @@ def assign(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """A row for each document, range-sorted by its first position; those not taken come last."""
     rows = assign(docs.select("doc_id", "source", "text")).select(
-        "doc_id", "size", "source_size", "target", "taken", "positions"
+        "doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position")
     )
-    first = F.get("positions", F.lit(0)).asc_nulls_last()
+    first = F.col("first_position").asc_nulls_last()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, first, "doc_id").sortWithinPartitions(first, "doc_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, minhash, mixing, quality, reclm, secrets, suffixes, tokenids, toxicity
+from . import decontaminate, media, minhash, mixing, oracles, quality, reclm, secrets, suffixes, tokenids, toxicity
 from .common import documents
 
 
@@ -74,5 +74,4 @@ def queries() -> dict:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracles.oracle_sql

@@ -275,7 +275,7 @@ def test_mixing(rows, docs):
     sums, taken, target, largest = Counter(), Counter(), {}, Counter()
     for text, r in by_text(rows, found):
         assert r.size == len((text or "").encode().split()) and r.taken <= 3 * r.size
-        assert len(r.positions) in range(4) and all(0 <= p <= 1 for p in r.positions)
+        assert r.taken == r.copies * r.size and (r.first_position is None) == (r.copies == 0)
         s = source[r.doc_id]
         sums[s] += r.size
         taken[s] += r.taken
@@ -300,13 +300,60 @@ def test_mixing(rows, docs):
 
 def test_mixing_is_sorted(docs):
     """Rows come in the order of their first position, those not taken last."""
-    first = [r.positions[0] if r.positions else 2.0 for r in mixing.report(docs).collect()]
+    first = [2.0 if r.first_position is None else r.first_position for r in mixing.report(docs).collect()]
     assert len(first) == docs.count() and first == sorted(first)
 
 
-def test_schedules():
+def test_positions_meet_the_demand(docs):
+    """At each copy's position a source's demand, integrated in small steps, reaches the middle of the copy."""
+    assert all(s[0][0] == 0 and s[-1][0] == 1 for s in mixing.SCHEDULES)
+    times = np.linspace(0, 1, 200_001)
+    curves = []
     for schedule in mixing.SCHEDULES:
-        assert schedule[0][0] == 0 and schedule[-1][0] == 1
+        weight = np.interp(times, *zip(*schedule, strict=True))
+        area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        curves.append(area / area[-1])
+    found = mixing.assign(docs).collect()
+    sources = sorted({r.source for r in found if r.source is not None}) + [None]
+    for place, source in enumerate(sources):
+        mine = [r for r in found if r.source == source]
+        copies = sorted((p, r.taken // r.copies) for r in mine for p in r.positions)
+        if not mine or not mine[0].target:
+            continue
+        assert all(0 <= p <= 1 for p, _ in copies)
+        # copies stand in the order of their positions, so sizes so far are the demand met
+        ends = np.cumsum([n for _, n in copies])
+        wanted = (ends - np.array([n for _, n in copies]) / 2) / mine[0].target
+        met = np.interp([p for p, _ in copies], times, curves[place % 3])
+        some = np.array([n for _, n in copies]) > 0
+        assert np.allclose(met[some], wanted[some], atol=1e-4)
+
+
+def test_mixing_takes_clashing_names(spark):
+    """Columns named like results or inner ones; null and repeated ids; a null source."""
+    rows = [(None, f"a b {i}", None, i, "x") for i in range(5)] + [(1, "a b c", "s", i, "y") for i in range(5)]
+    odd = spark.createDataFrame(rows, "doc_id int, text string, source string, target int, place string")
+    odd = odd.withColumns({c: F.lit("mine") for c in ("size", "source_size", "key", "row", "position", "end")})
+    out = mixing.curriculum(odd)
+    assert out.columns == odd.columns and {r.end for r in out.collect()} == {"mine"}
+    assigned = mixing.assign(odd).collect()
+    assert len(assigned) == 10 and {r.size for r in assigned} == {3}
+
+
+def test_targets_of_many_sources(spark):
+    sizes = np.random.default_rng(2).integers(0, 1000, 500).tolist()
+    sums = spark.createDataFrame([(f"s{i:04d}", n) for i, n in enumerate(sizes)], "source string, source_size bigint")
+    found = {r.source: r.target for r in mixing.targets(sums).collect()}
+    weights = [(5, 2, 1)[i % 3] for i in range(500)]
+    capped = set()
+    while True:
+        level = (sum(sizes) - 3 * sum(sizes[i] for i in capped)) / sum(w for i, w in enumerate(weights) if i not in capped)
+        more = {i for i in range(500) if weights[i] * level > 3 * sizes[i]}
+        if more == capped:
+            break
+        capped = more
+    for i in range(500):
+        assert math.isclose(found[f"s{i:04d}"], 3 * sizes[i] if i in capped else weights[i] * level)
 
 
 def test_curriculum(docs):
