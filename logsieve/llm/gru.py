@@ -297,10 +297,10 @@ class Trainer:
             summed = np.add.reduceat(flat_a[order], first, axis=0)  # of each input token
             summed *= scale
             np.clip(summed, -1, 1, out=summed)
-            e = p["e"][seen]
-            self._step("wx", e.T @ summed)
+            of_e, of_wx = summed @ p["wx"].T, p["e"][seen].T @ summed
+            self._step("wx", of_wx)
             self._step("b", summed.sum(axis=0))
-            self._step("e", summed @ p["wx"].T, seen)
+            self._step("e", of_e, seen)
             self._step("u", np.clip(du * scale, -1, 1))
             for name in ("wc", "bc", "wo", "bo"):
                 self._step(name, g[name] * scale)
