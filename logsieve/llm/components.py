@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) -> (u, v): every vertex but a component's least, and that least vertex."""
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
-        now = materialize(_small(_large(now)), "components")
+        with scratch(edges.sparkSession) as tables:
+            now = materialize(_small(_large(now)), "components")
+            tables.keep(now)
         if _settled(now):
             return now

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
-from .common import LOWER, materialize, memo, slices, text_bytes, unused
+from .common import LOWER, materialize, memo, scratch, slices, text_bytes, unused
 from .components import components
 from .ftrl import mix
 
@@ -245,9 +245,11 @@ def _grouped(docs: DataFrame, near: Near, digests: bool) -> tuple[DataFrame, Dat
 
 def find(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, v (the class)."""
-    rows, names = _grouped(docs, near, digests=False)
-    least = names.groupBy("label").agg(F.min("first").alias("component_id"))
-    names = materialize(names.join(least, "label").select("v", "component_id"), "names")
+    with scratch(docs.sparkSession) as tables:
+        rows, names = _grouped(docs, near, digests=False)
+        least = names.groupBy("label").agg(F.min("first").alias("component_id"))
+        names = materialize(names.join(least, "label").select("v", "component_id"), "names")
+        tables.keep(rows, names)
     # a class may hold a third of all rows; the join is on it, and splits where it is skewed
     out = rows.select("doc_id", "n_shingles", "v").join(names, "v", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -267,11 +269,13 @@ def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     Ids may be null or repeated. Of rows with the same id and text one stays, whichever
     it is. Rows without a word are linked with nothing and all stay.
     """
-    rows, names = _grouped(docs, near, digests=True)
-    first = names.groupBy("label").agg(F.min("row").alias("row")).select("row.doc_id", "row.digest")
-    counts = rows.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    same = counts["doc_id"].eqNullSafe(first["doc_id"]) & (counts["digest"] == first["digest"])
-    kept = materialize(counts.join(first, same, "left_semi"), "kept")
+    with scratch(docs.sparkSession) as tables:
+        rows, names = _grouped(docs, near, digests=True)
+        first = names.groupBy("label").agg(F.min("row").alias("row")).select("row.doc_id", "row.digest")
+        counts = rows.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+        same = counts["doc_id"].eqNullSafe(first["doc_id"]) & (counts["digest"] == first["digest"])
+        kept = materialize(counts.join(first, same, "left_semi"), "kept")
+        tables.keep(kept)
 
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     digest, key, text = unused(docs, "_digest", "_key", "_text")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import LOWER, materialize, remainder, slices, text_bytes, unused
+from .common import LOWER, materialize, remainder, scratch, slices, text_bytes, unused
 
 FOLDS, HELD_OUT = 5, 1
 #: Bounds: words sent to the executors, and texts of the first model.
@@ -196,9 +196,10 @@ def train(training: DataFrame, known, warm_rows: int = WARM_ROWS) -> np.ndarray:
     if not first:
         return gru.start(known.value.frequencies)
     pair = tuple(np.frombuffer(bytes(x), dtype=np.float32) for x in (first[0].weights, first[0].squares))
-    models = materialize(training.select("text").mapInArrow(_learn(known, context.broadcast(pair), 0.1), _MODEL), "models")
-    some = max(1, math.isqrt(models.count()))
-    mean = models.repartition(some).mapInArrow(_average, _MODEL).repartition(1).mapInArrow(_average, _MODEL).collect()
+    with scratch(training.sparkSession):
+        models = materialize(training.select("text").mapInArrow(_learn(known, context.broadcast(pair), 0.1), _MODEL), "models")
+        some = max(1, math.isqrt(models.count()))
+        mean = models.repartition(some).mapInArrow(_average, _MODEL).repartition(1).mapInArrow(_average, _MODEL).collect()
     return np.frombuffer(bytes(mean[0].weights), dtype=np.float32)
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, slices, text_bytes
+from .common import fresh_path, materialize, scratch, slices, text_bytes, wrote
 from .storage import Store
 
 LENGTH, GRAM = 200, 32
@@ -144,6 +144,7 @@ class Side:
 
     def __init__(self, rows: DataFrame, name: str):
         self.uri = fresh_path(rows.sparkSession, name)
+        wrote(self.uri)
         part = F.shiftright("at", _ROW).cast("int").alias("part")
         # one file for each partition; its size follows that of the partition
         rows.select(part, "*").repartition("part").sortWithinPartitions("part", "at").write.option(
@@ -436,8 +437,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("text", "n_bytes", "kept_bytes", "removed", "at")]
     # the key of a row is stored with it, so it does not matter how later passes split the table
-    keyed = materialize(docs.select(*columns, "text", F.monotonically_increasing_id().alias("at")), "dedup-input")
-    side = Side(find_repeats(keyed.select("at", "text")), "repeats")
+    with scratch(docs.sparkSession) as tables:
+        keyed = materialize(docs.select(*columns, "text", F.monotonically_increasing_id().alias("at")), "dedup-input")
+        side = Side(find_repeats(keyed.select("at", "text")), "repeats")
+        tables.keep(keyed, side.uri)
     added = {"n_bytes": "bigint", "kept_bytes": "binary", "removed": "array<array<bigint>>"}
     schema = docs.select(*columns).withColumns({c: F.lit(None).cast(t) for c, t in added.items()}).schema
     return keyed.mapInArrow(_finish(side, columns), schema)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, memo, release, slices
+from .common import fresh_path, materialize, memo, release, scratch, slices
 from .storage import Store, attempt_name
 
 
@@ -311,6 +311,13 @@ def write_shards(docs: DataFrame, packing: Packing = Packing(), root: str | None
     Store(root).make()
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    with scratch(spark) as tables:
+        rows = _placed(source, kind, packing, root, max_tasks)
+        tables.keep(rows)
+    return rows
+
+
+def _placed(source: DataFrame, kind: str, packing: Packing, root: str, max_tasks: int) -> DataFrame:
     blocks = materialize(source.mapInArrow(_pack(packing), _SEQUENCES.format(kind)), "sequences")
     # a row for each input partition
     counts = materialize(blocks.groupBy("part").agg(F.sum("n").alias("k")), "counts")
