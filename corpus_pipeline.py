@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logsieve.llm import decontaminate, minhash, mixing, quality, tokenids
-from logsieve.llm.common import materialize
+from logsieve.llm.common import materialize, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over ``documents``; one row for each token sequence.
+
+    Each stage's result is written; what a stage wrote beside it, and at last the stages'
+    tables too, are removed. Null texts count as empty ones; null and repeated ids take part
+    (the stages' modules say how); other columns travel with their rows up to the last stage. Without
+    documents there are no sequences.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as tables:
+        for _, stage in STAGES[:-1]:
+            with scratch(spark) as own:
+                docs = materialize(stage(spark, docs, sf_dir), "stage")
+                own.keep(docs)
+        rows = STAGES[-1][1](spark, docs, sf_dir)
+        tables.keep(rows)
+    return rows
