@@ -105,9 +105,9 @@ def targets(sums: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "place", target.alias("target"))
 
 
-def _assigned(docs: DataFrame) -> DataFrame:
-    """row (all columns of ``docs``), size, source_size, target, copies, taken, positions."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+def _assigned(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """row (these columns of ``docs``), size, source_size, target, copies, taken, positions."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
     sized = docs.select(row, "source", size_of().alias("size"), key.alias("key"))
@@ -150,13 +150,14 @@ _ADDED = ("size", "source_size", "target", "copies", "taken", "positions")
 def assign(docs: DataFrame) -> DataFrame:
     """``docs`` with size, source_size, target, copies, taken and positions (one for each copy), which replace columns so named."""
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in _ADDED]
-    return _assigned(docs).select(*kept, *_ADDED)
+    return _assigned(docs, docs.columns).select(*kept, *_ADDED)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """A row for each document, range-sorted by its first position; those not taken come last."""
-    rows = assign(docs.select("doc_id", "source", "text")).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position")
+    # the texts stay where they are
+    rows = _assigned(docs, ["doc_id"]).select(
+        "row.doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("first_position")
     )
     first = F.col("first_position").asc_nulls_last()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,7 +166,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def curriculum(docs: DataFrame) -> DataFrame:
     """A row for each copy taken, with ``docs``' columns, range-sorted by training position."""
-    rows = _assigned(docs).select("row", F.explode("positions").alias("position"))
+    rows = _assigned(docs, docs.columns).select("row", F.explode("positions").alias("position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "position", "row.doc_id").sortWithinPartitions("position", "row.doc_id")
     return dealt.select(*[F.col(f"row.`{c}`") for c in docs.columns])
