@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,14 +82,22 @@ def within_one(a: Column | str, b: Column | str) -> Column:
     return (F.levenshtein(a, b) == 1) | F.when(even, swapped).otherwise(False)
 
 
-def deletions(text: Column | str) -> Column:
-    """``text`` and all that one deletion makes of it: texts within one edit or swap share one."""
+def halves(text: Column | str) -> Column:
+    """Six keys of ``text``: texts within one edit or swap share one, whatever their length.
+
+    For each length that the other text may have: with h half the shorter length, either the first h
+    characters are equal, or the last ones from the shorter's character h + 2 on.
+    """
     text = col(text)
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.concat(text.substr(F.lit(1), i - 1), text.substr(i + 1, F.length(text))),
-    )
-    return F.when(F.length(text) > 0, F.array_distinct(F.array_append(shorter, text))).otherwise(F.array(text))
+    n = F.length(text)
+
+    def pair(more: int) -> list[Column]:
+        short, long = (n + more, n) if more < 0 else (n, n + more)
+        h = F.floor(short / 2).cast("int")
+        first, last = F.left(text, h), F.right(text, F.greatest(short - h - 1, F.lit(0)))
+        return [F.when(short >= 0, F.xxhash64(short, long, F.lit(side), part)) for side, part in enumerate((first, last))]
+
+    return F.array_compact(F.array(*[key for more in (-1, 0, 1) for key in pair(more)]))
 
 
 def search_radius(threshold: float, length: Column | str) -> Column:
@@ -118,11 +126,17 @@ def heads_may_match(a: Column, b: Column, threshold: float) -> Column:
     return (a != b) & (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= 2 * most)
 
 
-def similar(left: dict[str, Column], right: dict[str, Column], threshold: float) -> Column:
-    """Whether two commands (norm, head, rest) differ by a typo in the head.
+def similar(pairs: DataFrame, left: dict[str, Column], right: dict[str, Column], threshold: float) -> DataFrame:
+    """Of ``pairs`` of commands (norm, head, rest) those that differ by a typo in the head.
 
-    The rest must be equal, or the whole normalised commands at least ``FALLBACK`` alike.
+    The rest must be equal, or the whole normalised commands at least ``FALLBACK`` alike. The heads'
+    distance comes first, and the whole commands' only where a native bound leaves it open.
     """
-    head = ratio(left["head"], right["head"])
-    whole = ratio(left["norm"], right["norm"])
-    return (head >= threshold) & (head < 1.0) & ((left["rest"] == right["rest"]) | (whole >= FALLBACK))
+    head = pairs.withColumn("_head", ratio(left["head"], right["head"])).where((F.col("_head") >= threshold) & (F.col("_head") < 1.0))
+    a, b = left["norm"], right["norm"]
+    equal = left["rest"] == right["rest"]
+    most = F.lit(1 - FALLBACK) * F.greatest(F.length(a), F.length(b)) + 1e-9
+    maybe = (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= 2 * most)
+    left_open = head.where(equal | maybe)
+    whole = left_open.withColumn("_whole", ratio(F.when(equal, "").otherwise(a), F.when(equal, "").otherwise(b)))
+    return whole.where(F.col("_whole") >= FALLBACK).drop("_head", "_whole")

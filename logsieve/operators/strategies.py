@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import (
     damerau_levenshtein,
-    deletions,
+    halves,
     heads_may_match,
     maybe_within,
     search_radius,
@@ -20,16 +20,16 @@ from ..functions.distance import (
     within_one,
 )
 from ..functions.text import base_command, normalize, split_command
-from .stats import KEY, base_totals
+from .stats import HEAVIER, KEY, base_totals
 
 #: Runs that make a first word common, and successes up to which it is rare.
 COMMON, RARE = 20, 2
-#: How many times heavier the common variant must be.
-HEAVIER = 3.0
 
 
 def prepared(commands: DataFrame) -> DataFrame:
-    """With base, and norm, head and rest worked out once for each command."""
+    """With base, norm, head and rest of each command, unless they are there."""
+    if "head" in commands.columns:
+        return commands
     out = commands.withColumns({"base": base_command("command"), "norm": normalize("command")})
     return out.withColumn("parts", split_command("norm")).select(
         *out.columns, F.col("parts.head").alias("head"), F.col("parts.rest").alias("rest")
@@ -78,22 +78,22 @@ def failed_similar(stats: DataFrame, threshold: float, done: DataFrame) -> DataF
         & maybe_within("f_command", "s_command", radius)
         & heads_may_match(F.col("f_head"), F.col("s_head"), threshold)
     )
-    near = pairs.withColumn("d", damerau_levenshtein("f_command", "s_command")).where(F.col("d") <= radius)
-    found = _nearest(near.where(similar(_parts("f"), _parts("s"), threshold)), "f_command", "s_command", F.col("d"))
+    alike = similar(pairs, _parts("f"), _parts("s"), threshold)
+    near = alike.withColumn("d", damerau_levenshtein("f_command", "s_command")).where(F.col("d") <= radius)
+    found = _nearest(near, "f_command", "s_command", F.col("d"))
     return found.select(*KEY, F.concat(F.lit("Failed similar to '"), "other", F.lit("'")).alias("reason"))
 
 
 def typo_bases(stats: DataFrame) -> DataFrame:
     """(history_id, base, common): rare first words one edit from the most used common one.
 
-    Both sides are joined on what one deletion leaves of them, so they are not compared with
-    each other's every word.
+    Both sides are joined on halves of themselves, so they are not compared with each other's every word.
     """
     totals = base_totals(stats)
     rare = totals.where(F.col("failures") > 0).where(F.col("successes") <= RARE)
-    rare = rare.select("history_id", "base", F.explode(deletions("base")).alias("left"))
+    rare = rare.select("history_id", "base", F.explode(halves("base")).alias("left"))
     common = totals.where(F.col("total") >= COMMON)
-    common = common.select("history_id", F.col("base").alias("common"), "total", F.explode(deletions("base")).alias("left"))
+    common = common.select("history_id", F.col("base").alias("common"), "total", F.explode(halves("base")).alias("left"))
     pairs = rare.join(common, ["history_id", "left"]).where(within_one("base", "common"))
     # most runs first, then the first in order
     best = F.min(F.struct((-F.col("total")).alias("n"), "common")).alias("best")
@@ -118,7 +118,7 @@ def rare_variants(weights: DataFrame, threshold: float, rare_threshold: float) -
         & (F.col("c_weight") > HEAVIER * F.col("r_weight"))
         & heads_may_match(F.col("r_head"), F.col("c_head"), threshold)
     )
-    near = pairs.where(similar(_parts("r"), _parts("c"), threshold))
+    near = similar(pairs, _parts("r"), _parts("c"), threshold)
     found = _nearest(near, "r_command", "c_command", damerau_levenshtein("r_command", "c_command"))
     return found.select(*KEY, F.concat(F.lit("Rare variant of '"), "other", F.lit("'")).alias("reason"))
 

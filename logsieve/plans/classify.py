@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_match, truncate, whole_seconds
 from ..operators import strategies
-from ..operators.stats import KEY, command_stats, decayed_weights, valid
+from ..operators.stats import KEY, command_stats, counts, decay_weight, in_order, valid, with_exit
 from ..settings import Settings
+from ..sources.tables import materialize, scratch
 
 SECRET = "Secret pattern:"
 
@@ -42,15 +43,20 @@ def removals(
 ) -> DataFrame:
     """(history_id, line, reason, command) of entries to remove.
 
-    ``now``, in seconds, is needed where rare variants are looked for. Statistics and
-    verdicts are one row per command; they join the entries once.
+    ``now``, in seconds, is needed where rare variants are looked for. Statistics are one row
+    per command; they are written once, read by all rules, and join the entries once.
     """
-    stats = command_stats(entries, exits)
-    weights = None
-    if settings.remove_rare:
-        if now is None:
-            raise ValueError("rare variants need the time that counts as now")
-        weights = decayed_weights(entries, now)
+    if settings.remove_rare and now is None:
+        raise ValueError("rare variants need the time that counts as now")
+    with scratch(entries.sparkSession) as tables:
+        weight = decay_weight(F.col("ts"), now) if settings.remove_rare else F.lit(0.0)
+        rows = valid(entries).withColumn("w", weight)
+        stats = with_exit(rows, exits).groupBy(*KEY).agg(*counts(), F.sum("w").alias("rough"))
+        if settings.remove_rare:
+            stats = in_order(rows.select(*KEY, "entry_id", "w"), materialize(stats, "rough"), settings.rare_threshold)
+        stats = materialize(strategies.prepared(stats), "command-stats")
+        tables.keep(stats)
+    weights = stats if settings.remove_rare else None
     ruled = stats.select(*KEY, "last_entry_id").join(verdicts(stats, settings, weights), KEY, "left")
     rows = valid(entries).select("history_id", "entry_id", "command").join(ruled, KEY)
     older = F.col("entry_id") < F.col("last_entry_id")

@@ -18,45 +18,53 @@ def write(files, text, exits=""):
     files.exits.write_text(exits)
 
 
-def test_dry_run_changes_nothing(spark, files):
-    text = ": 1:0;git status\n: 2:0;git status\n: 3:0;pwd\n"
-    write(files, text)
-    report = cleanup.run(spark, files, dry_run=True, now=1_700_000_000)
-    assert files.history.read_text() == text
-    assert '"dry_run":true' in files.log.read_text()
-    assert report.removals.count() == 1 and report.total_lines == 3
-
-
-def test_newest_stays_and_undo(spark, files):
-    text = ": 1:0;ls\n: 2:0;pwd\n: 3:0;ls\n"
-    write(files, text)
-    cleanup.run(spark, files, now=1_700_000_000)
-    assert files.history.read_text() == ": 2:0;pwd\n: 3:0;ls\n"
-    assert stat.S_IMODE(files.history.stat().st_mode) == 0o600
+NOW = 1_700_000_000
+LOG = ": 11:0;df -h\n: 12:4;free -m\n: 13:0;df -h\nno entry\n: 14:0;cat <<X \\\nbody\n"
+
+
+def test_dry_run_only_writes_the_run_log(spark, files):
+    write(files, LOG, "11:0\n99:0\n")
+    report = cleanup.run(spark, files, dry_run=True, now=NOW)
+    assert (files.history.read_text(), files.exits.read_text()) == (LOG, "11:0\n99:0\n")
+    run = json.loads(files.log.read_text())
+    assert (run["dry_run"], run["total_lines"], run["removed_count"]) == (True, 5, 1)
+    assert report.removals.count() == 1 and report.total_lines == 5
+
+
+def test_a_run_and_its_undoing(spark, files):
+    """The older of equal commands goes; malformed and folded lines stay as they were; only exits of kept seconds stay."""
+    write(files, LOG, "11:0\n12.5:1\n12.5:0\n13:0\n99:0\n")
+    cleanup.run(spark, files, now=NOW)
+    assert files.history.read_text() == LOG.partition("\n")[2]
+    assert files.exits.read_text() == "12.5:0\n13:0\n"
+    assert {stat.S_IMODE(f.stat().st_mode) for f in (files.history, files.exits)} == {0o600}
     cleanup.undo(files)
-    assert files.history.read_text() == text
+    assert files.history.read_text() == LOG
 
 
-def test_multiline_is_unchanged(spark, files):
-    text = ": 1:0;echo foo \\\nbar\nmalformed\n: 2:0;pwd\n"
-    write(files, text)
-    cleanup.run(spark, files, now=1_700_000_000)
-    assert files.history.read_text() == text
+def test_a_clean_log_is_left_alone(spark, files):
+    write(files, ": 21:0;id\n")
+    cleanup.run(spark, files, now=NOW)
+    run = json.loads(files.log.read_text())
+    assert (run["removed_count"], run["removals"], run["reason_counts"], run["total_lines"]) == (0, [], {}, 1)
+    assert not sinks.backups(files.history)
 
 
-def test_exits_are_compacted(spark, files):
-    write(files, ": 1:0;ls\n: 2:0;pwd\n", "1:0\n2:0\n9999:0\n8888:1\n")
-    cleanup.run(spark, files, now=1_700_000_000)
-    assert files.exits.read_text() == "1:0\n2:0\n"
+def test_appended_exits(spark, tmp_path):
+    rows = [("h", 0, "5.25", 1), ("h", 1, "6", 0)]
+    for part in rows:
+        sinks.append_exits(spark.createDataFrame([part], "history_id string, line_no bigint, ts_raw string, exit_code int"), str(tmp_path / "x"))
+    found = history.read_exits(spark, str(tmp_path / "x"))
+    assert {(r.ts_raw, r.exit_code) for r in found.collect()} == {("5.25", 1), ("6", 0)}
 
 
 def test_log_hides_secrets_and_is_read(spark, files):
-    secret = "export AWS_SECRET_ACCESS_KEY=" + "a1" * 20
-    write(files, f": 1:0;{secret}\n: 2:0;ls\n: 3:0;ls\n")
-    cleanup.run(spark, files, now=1_700_000_000)
+    secret = "glab auth --token glpat-" + "Q7" * 12
+    write(files, f": 1:0;{secret}\n: 2:0;date\n: 3:0;date\n")
+    cleanup.run(spark, files, now=NOW)
     run = json.loads(files.log.read_text())
     assert secret not in files.log.read_text()
-    assert run["reason_counts"] == {"Duplicate": 1, "Secret pattern: AWS secret key": 1}
+    assert run["reason_counts"] == {"Duplicate": 1, "Secret pattern: GitLab token": 1}
     assert stat.S_IMODE(files.log.stat().st_mode) == 0o600
     files.log.write_text(files.log.read_text() + "[x] ERROR not json\n")
     rows = history.read_run_log(spark, str(files.log)).collect()
@@ -82,11 +90,11 @@ def test_rotation_and_retention(tmp_path):
 
 
 def test_explain(spark, files):
-    write(files, ": 1:0;ls\n: 2:0;ls\n", "1:0\n")
-    rows = cleanup.explain(spark, files, "ls", now=1_700_000_000).collect()
+    write(files, ": 1:0;date\n: 2:0;date\n", "1:0\n")
+    rows = cleanup.explain(spark, files, "date", now=NOW).collect()
     assert [r.verdict for r in rows] == ["REMOVE Duplicate", "KEEP"]
     with pytest.raises(LookupError):
-        cleanup.explain(spark, files, "none", now=1_700_000_000)
+        cleanup.explain(spark, files, "none", now=NOW)
     cleanup.record_exit(files, "2", 1)
     assert files.exits.read_text() == "1:0\n2:1\n"
 

@@ -1,136 +1,153 @@
+"""The rules, each on logs made from the rule's own terms."""
+
 import pytest
 
+from logsieve.operators import stats
 from logsieve.plans import classify
 from logsieve.settings import Settings
 
 DAY = 24 * 3600
 NOW = 1_700_000_000
+ENTRIES = "history_id string, entry_id bigint, raw string, ts string, command string"
+EXITS = "history_id string, line_no bigint, ts_raw string, exit_code int"
+
+
+def removals(spark, runs, settings=Settings(), allow=None):
+    """runs: (command, exit code, seconds before now or None for a second of its own) -> {line: reason}."""
+    entries, exits = [], []
+    for line, (command, code, age) in enumerate(runs):
+        ts = str(line + 1) if age is None else str(NOW - age) if isinstance(age, int) else age
+        entries.append(("h", line, f": {ts}:0;{command}", ts, command))
+        exits.append(("h", line, ts, code))
+    found = classify.removals(spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(exits, EXITS), settings, allow, NOW)
+    return {r.line: r.reason for r in found.collect()}
+
+
+def runs(command, good=0, bad=0, age=None):
+    return [(command, 0, age)] * good + [(command, 1, age)] * bad
+
+
+def others(found):
+    return {line: reason for line, reason in found.items() if reason != "Duplicate"}
+
 
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_only_the_newest_of_a_command_stays(spark, times):
+    log = (runs("uptime", 1) + runs("whoami", 1)) * times
+    assert removals(spark, log) == {i: "Duplicate" for i in range(2 * times - 2)}
 
-def removals(spark, rows, settings=Settings(), allow=None, now=NOW):
-    """rows: (command, times, failed, seconds before now); -> {line: reason}, lines."""
-    entries, exits, line = [], [], 0
-    for command, times, failed, age in rows:
-        for _ in range(times):
-            ts = str(now - age) if isinstance(age, int) else age
-            # each entry its own second, unless the age is what matters
-            ts = str(int(ts) * 1) if age else str(line + 1)
-            entries.append(("h", line, f": {ts}:0;{command}", ts, command))
-            exits.append(("h", line, ts, int(failed)))
-            line += 1
-    e = spark.createDataFrame(entries, "history_id string, entry_id bigint, raw string, ts string, command string")
-    x = spark.createDataFrame(exits, "history_id string, line_no bigint, ts_raw string, exit_code int")
-    found = classify.removals(e, x, settings, allow, now).collect()
-    return {r.line: (r.reason, r.command) for r in found}
 
+@pytest.mark.parametrize(("good", "bad", "found"), [(2, 1, True), (1, 1, False), (3, 3, False), (4, 3, True)])
+def test_prefix_needs_more_successes_than_failures(spark, good, bad, found):
+    log = runs("terraform pl", bad=bad) + runs("terraform plan -out x", good=good)
+    assert others(removals(spark, log)) == ({bad - 1: "Failed prefix of 'terraform plan -out x'"} if found else {})
 
-def kinds(found):
-    return {line: reason.split(" '")[0].split(" of")[0] for line, (reason, _) in found.items()}
 
+def test_first_of_several_longer_commands_is_named(spark):
+    log = runs("helm up", bad=1) + runs("helm upgrade b", 2) + runs("helm upgrade a", 2)
+    assert others(removals(spark, log)) == {0: "Failed prefix of 'helm upgrade a'"}
 
-def ok(command, times=1):
-    return (command, times, False, 0)
 
+@pytest.mark.parametrize(
+    ("failed", "good"),
+    [("helm lsit", "helm list"), ("psql östen", "psql östne")],
+)
+def test_a_typo_is_named_after_what_works(spark, failed, good):
+    log = runs(failed, bad=1) + runs(good, 3)
+    assert others(removals(spark, log)) == {0: f"Failed similar to '{good}'"}
 
-def bad(command, times=1):
-    return (command, times, True, 0)
 
+@pytest.mark.parametrize("log", [
+    runs("helm lsit", 1) + runs("helm list", 3),  # it works
+    runs("helm lsit", bad=2) + runs("helm list", bad=1),  # neither works
+    runs("ehlm lsit", bad=1) + runs("helm list", 3),  # another first word
+    runs("helm zz", bad=1) + runs("helm list", 3),  # too far
+])
+def test_no_typo(spark, log):
+    assert not any(r.startswith("Failed") for r in removals(spark, log).values())
 
-CASES = [
-    ("duplicates", [ok("ls"), ok("pwd"), ok("ls", 2)], {0: "Duplicate", 2: "Duplicate"}),
-    ("one row", [ok("ls")], {}),
-    ("similar", [bad("git statsu"), ok("git status", 2)], {0: "Failed similar to", 1: "Duplicate"}),
-    ("prefix", [bad("mise ins"), ok("mise install", 2)], {0: "Failed prefix", 1: "Duplicate"}),
-    ("other", [bad("ls -la"), ok("git status")], {}),
-    ("equal counts", [ok("git status", 2), bad("git statsu", 2)], {0: "Duplicate", 2: "Duplicate"}),
-    ("both failed", [bad("git statsu"), bad("git status")], {}),
-    ("characters", [ok("café status", 2), bad("café statsu")], {0: "Duplicate", 2: "Failed similar to"}),
-    ("another base", [bad("gi"), ok("git status", 2)], {1: "Duplicate"}),
-]
 
+@pytest.mark.parametrize(("least", "found"), [(0.74, True), (0.76, False), (1.0, False), (0.0, True)])
+def test_threshold_is_the_heads_ratio(spark, least, found):
+    """Two of eight characters differ: 0.75."""
+    log = runs("sv alpha", bad=1) + runs("sv alzza", 2)
+    assert (0 in removals(spark, log, Settings(similarity=least))) == found
 
-@pytest.mark.parametrize(("name", "rows", "want"), CASES, ids=[c[0] for c in CASES])
-def test_failed_and_duplicates(spark, name, rows, want):
-    assert kinds(removals(spark, rows)) == want
 
+def test_prefix_comes_before_similar(spark):
+    log = runs("helm lis", bad=1) + runs("helm list", 3)
+    assert others(removals(spark, log)) == {0: "Failed prefix of 'helm list'"}
 
-@pytest.mark.parametrize(("threshold", "flagged"), [(0.79, True), (0.80, True), (0.81, False), (1.0, False), (0.0, True)])
-def test_threshold(spark, threshold, flagged):
-    found = removals(spark, [bad("git stxxus"), ok("git status", 2)], Settings(similarity=threshold))
-    assert (0 in found) == flagged
 
+@pytest.mark.parametrize(("total", "wrong", "right", "found"), [(20, 1, 0, True), (19, 1, 0, False), (25, 3, 2, True), (25, 3, 3, False), (25, 0, 2, False)])
+def test_mistyped_first_word(spark, total, wrong, right, found):
+    """The right word is run ``total`` times; the mistyped one fails ``wrong`` times and works, as another command, ``right`` times."""
+    log = runs("rsync -a p q", total) + runs("rsnyc -v", bad=wrong) + runs("rsnyc -h", right)
+    got = {r for r in removals(spark, log).values() if r.startswith("Cross-base")}
+    assert got == ({"Cross-base typo of 'rsync'"} if found else set())
 
-def test_mixed(spark):
-    rows = [
-        ok("git status", 5), ok("git commit", 5), bad("git statsu"), bad("git co"), ok("git push origin feature-2", 5),
-        bad("git push origin feature-1"), bad("git completely-unrelated-xyz"), ok("git logg"), bad("git logg"),
-    ]
-    found = {c: r for r, c in removals(spark, rows).values() if r != "Duplicate"}
-    assert found == {"git statsu": "Failed similar to 'git status'", "git co": "Failed prefix of 'git commit'"}
 
+def test_most_used_word_is_named(spark):
+    log = runs("lpr a", 21) + runs("lpq a", 30) + runs("lpd x", bad=1)
+    assert removals(spark, log)[51] == "Cross-base typo of 'lpq'"
 
-CROSS = [
-    ([ok("git status", 20), bad("gti status"), bad("gti log")], {"gti status", "gti log"}),
-    ([ok("cd /home", 20), ok("mv foo bar")], set()),
-    ([ok("cd /home", 20), ok("fd foo")], set()),
-    ([ok("git status", 20), ok("gti status", 3)], set()),
-    ([ok("git status", 19), bad("gti status")], set()),
-    ([ok("xit foo", 30), ok("zit foo", 25), bad("git status")], {"git status"}),
-    ([ok("git status", 12), ok("git commit", 8), bad("gti status")], {"gti status"}),
-    ([ok("git status", 10), bad("git log", 10), bad("gti status")], {"gti status"}),
-]
 
+def test_totals_of_a_word_count_all_its_commands(spark):
+    log = runs("gcc a", 8) + runs("gcc b", 7, 5) + runs("gc a", bad=1)
+    assert removals(spark, log)[20] == "Cross-base typo of 'gcc'"
 
-@pytest.mark.parametrize(("rows", "want"), CROSS)
-def test_cross_base(spark, rows, want):
-    found = removals(spark, rows)
-    assert {c for r, c in found.values() if r.startswith("Cross-base")} == want
-    if want == {"git status"}:
-        assert ("Cross-base typo of 'xit'", "git status") in found.values()
 
+def rare(found):
+    return {r for r in found.values() if r.startswith("Rare")}
 
-RARE = [
-    ([("git status", 20, False, 40 * DAY), ("git statsu", 1, False, 1)], 3.0, False),
-    ([("git status", 40, False, 40 * DAY), ("git statsu", 1, False, 40 * DAY)], 3.0, True),
-    ([("git status", 2, False, 8 * DAY), ("git statsu", 1, False, 30 * DAY - 5)], 3.0, False),
-    ([("git status", 2, False, 8 * DAY), ("git statsu", 1, False, 30 * DAY + 1)], 3.0, True),
-    ([("git status", 7, False, 8 * DAY), ("git statsu", 1, False, 7 * DAY - 5)], 3.0, True),
-    ([("git status", 10, False, 1), ("git statsu", 3, False, 1)], 3.0, True),
-    ([("git status", 10, False, 1), ("git statsu", 4, False, 1)], 3.0, False),
-    ([("git status", 15, False, 40 * DAY), ("git statsu", 5, False, 40 * DAY)], 3.0, True),
-    ([("git status", 100, False, 40 * DAY), ("git statsu", 30, False, 40 * DAY)], 3.0, False),
-    ([("git status", 10, False, 1), ("git statsu", 1, False, "99999999999999999999")], 3.0, True),
-]
 
+@pytest.mark.parametrize("age", [0, 7 * DAY, 7 * DAY + 1, 30 * DAY, 30 * DAY + 1])
+@pytest.mark.parametrize(("seldom", "often", "alike"), [(1, 4, True), (1, 3, False), (3, 10, True), (3, 9, False)])
+def test_rare_is_a_third_at_any_age(spark, age, seldom, often, alike):
+    """Where all runs weigh the same only their numbers decide, as long as the sum is at most the threshold."""
+    log = runs("nmap scna", seldom, age=age) + runs("nmap scan", often, age=age)
+    found = rare(removals(spark, log, Settings(remove_rare=True)))
+    exact = sum([1.0 if age <= 7 * DAY else 0.5 if age <= 30 * DAY else 0.1] * often) > 3 * sum([1.0 if age <= 7 * DAY else 0.5 if age <= 30 * DAY else 0.1] * seldom)
+    assert found == ({"Rare variant of 'nmap scan'"} if exact else set())
+    assert age or exact == alike
+    assert not rare(removals(spark, log))
 
-@pytest.mark.parametrize(("rows", "threshold", "want"), RARE)
-def test_rare(spark, rows, threshold, want):
-    found = removals(spark, rows, Settings(rare_threshold=threshold, remove_rare=True))
-    assert any(r.startswith("Rare variant of 'git status'") for r, _ in found.values()) == want
-    plain = removals(spark, rows)
-    assert not any(r.startswith("Rare") for r, _ in plain.values())
-
-
-def test_allowlist_and_secrets(spark):
-    assert len(removals(spark, [ok("kubectl get pods", 2)])) == 1
-    assert removals(spark, [ok("kubectl get pods", 2)], allow=["^kubectl "]) == {}
-    secret = "export AWS_SECRET_ACCESS_KEY=" + "a1" * 20
-    found = removals(spark, [ok(secret)], allow=["^export "])
-    assert [r for r, _ in found.values()] == ["Secret pattern: AWS secret key"]
-    assert set(kinds(removals(spark, [ok(secret, 2)])).values()) == {"Secret pattern: AWS secret key"}
+
+@pytest.mark.parametrize(("threshold", "seldom", "found"), [(3.0, 3, True), (3.0, 4, False), (0.5, 1, False), (400.0, 40, True)])
+def test_rare_threshold(spark, threshold, seldom, found):
+    log = runs("nmap scna", seldom, age=5) + runs("nmap scan", 3 * seldom + 1, age=5)
+    assert bool(rare(removals(spark, log, Settings(rare_threshold=threshold, remove_rare=True)))) == found
+
+
+def test_time_that_is_no_number_weighs_nothing(spark):
+    log = runs("nmap scna", 2, age="9" * 25) + runs("nmap scan", 1, age=5)
+    assert rare(removals(spark, log, Settings(remove_rare=True))) == {"Rare variant of 'nmap scan'"}
 
 
 def test_rare_needs_now(spark):
     with pytest.raises(ValueError):
-        removals(spark, [ok("ls")], Settings(remove_rare=True), now=None) if False else classify.removals(
-            spark.createDataFrame([], "history_id string, entry_id bigint, raw string, ts string, command string"),
-            spark.createDataFrame([], "history_id string, line_no bigint, ts_raw string, exit_code int"),
-            Settings(remove_rare=True),
-        )
+        classify.removals(spark.createDataFrame([], ENTRIES), spark.createDataFrame([], EXITS), Settings(remove_rare=True))
+
+
+def test_allowlist_spares_all_but_secrets(spark):
+    log = runs("vault login", 2) + runs("export TOKEN=" + "Zx9" * 6, 1)
+    assert removals(spark, log) == {0: "Duplicate", 2: "Secret pattern: Assigned secret"}
+    assert removals(spark, log, allow=["^vault", "^export"]) == {2: "Secret pattern: Assigned secret"}
+
+
+def test_a_secret_goes_wherever_it_stands(spark):
+    log = runs("curl -u https://me:pw@h.test/", 3)
+    assert set(removals(spark, log).values()) == {"Secret pattern: URL password"} and len(removals(spark, log)) == 3
 
 
 def test_last_exit_in_a_second_wins(spark):
-    from logsieve.operators.stats import exit_by_second
+    rows = [("h", 4, "9.25", 0), ("h", 5, "9.75", 3), ("h", 6, "10", 0)]
+    found = stats.exit_by_second(spark.createDataFrame(rows, EXITS)).collect()
+    assert {(r.ts, r.exit_code) for r in found} == {("9", 3), ("10", 0)}
+
 
-    x = spark.createDataFrame([("h", 0, "1.1", 0), ("h", 1, "1.9", 1)], "history_id string, line_no bigint, ts_raw string, exit_code int")
-    assert [r.exit_code for r in exit_by_second(x).collect()] == [1]
+def test_keep_newest_takes_ties_and_nulls(spark):
+    rows = [(None, 1, "a"), (None, 2, "b"), ("k", 5, "c"), ("k", 5, "d"), ("k", 4, "e"), ("one", None, "f")]
+    df = spark.createDataFrame(rows, "key string, at int, what string")
+    gone = sorted(r.what for r in stats.keep_newest(df, ["key"], "at").collect())
+    assert gone in (["a", "c", "e"], ["a", "d", "e"])
