@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_match, truncate, whole_seconds
@@ -106,6 +106,13 @@ def explain(entries: DataFrame, exits: DataFrame, found: DataFrame, command: str
     )
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """Removals with their place in the order of a report: by history, then by line."""
+    order = Window.partitionBy("history_id").orderBy("line")
+    rows = found.withColumn("place", F.row_number().over(order))
+    return rows.repartitionByRange("history_id", "line").sortWithinPartitions("history_id", "line")
+
+
 def reason_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("history_id", "reason").agg(F.count("*").alias("n"))
 

@@ -68,7 +68,8 @@ def run(
             if files.exits.exists():
                 sinks.replace_file(files.exits, iter(codes))
     if files.log:
-        line = sinks.run_json(sinks.run_row(found, total, settings, dry_run, at)).first().value
+        totals = spark.createDataFrame([(str(files.history), total)], "history_id string, total_lines bigint")
+        line = sinks.run_json(sinks.run_rows(found, totals, settings, dry_run, at)).first().value
         sinks.append_run(files.log, line, log_max_bytes)
     return Report(found, total)
 

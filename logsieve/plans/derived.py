@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The command of an event, in the SQL that both engines share.
 COMMAND = """CASE
  WHEN event_id % 997 = 3 THEN 'export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYQ1w2e3r4t5y6'
+ WHEN event_id % 991 = 4 THEN 'git push https://bot:hunter22@git.test/r'
+ WHEN event_id % 983 = 5 THEN 'gh auth login --with ghp_0a1b2c3d4e5f6g7h8i9j0k1l2m3n4o5p6q7r'
  WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'git statsu'
  WHEN event_type = 'error' AND event_id % 11 = 1 THEN 'gti status'
  WHEN event_type = 'error' AND event_id % 11 = 2 THEN 'cargo bui'
@@ -18,15 +20,19 @@ COMMAND = """CASE
  WHEN event_id % 4 = 2 THEN 'docker ps'
  ELSE 'git log --oneline' END"""
 
+#: Events whose line is malformed, and exits that are recorded with a fraction of a second.
+MALFORMED, FRACTION = "event_id % 89 = 7", "event_id % 3 = 1"
+
 #: The time that counts as now: 2024-02-01, after the events.
 NOW = 1706745600
 
-SQL = f"""WITH h AS (
+SQL = f"""WITH a AS (
  SELECT CAST(user_id % 20 AS varchar) AS history_id, event_id AS entry_id,
-  CAST(CAST(floor(epoch(ts)) AS bigint) AS varchar) AS ts, {COMMAND} AS command,
-  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS code
+  CAST(CAST(floor(epoch(ts)) AS bigint) AS varchar) AS second, {COMMAND} AS written,
+  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS code, {MALFORMED} AS malformed, {FRACTION} AS fraction
  FROM events),
-x AS (SELECT history_id, ts, arg_max(code, entry_id) AS exit_code FROM h GROUP BY ALL),
+h AS (SELECT history_id, entry_id, second AS ts, written AS command, code FROM a WHERE NOT malformed),
+x AS (SELECT history_id, second AS ts, arg_max(code, entry_id) AS exit_code FROM a GROUP BY ALL),
 e AS (SELECT h.history_id, h.entry_id, h.ts, h.command, x.exit_code FROM h LEFT JOIN x USING (history_id, ts)),
 s AS (SELECT history_id, command, count(*) AS n_entries, count(*) FILTER (WHERE exit_code = 0) AS success_count,
   count(*) FILTER (WHERE exit_code <> 0) AS failed_count, max(entry_id) AS last_entry_id FROM e GROUP BY ALL),
@@ -44,15 +50,23 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("ts"),
         F.expr(COMMAND).alias("command"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("code"),
+        F.expr(MALFORMED).alias("malformed"),
+        F.expr(FRACTION).alias("fraction"),
     )
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit(": "), "ts", F.lit(":0;"), "command").alias("raw")
-    return _events(spark, sf_dir).select("history_id", "entry_id", raw, "ts", "command")
+    good = ~F.col("malformed")
+    head = F.when(good, F.concat(F.lit(": "), "ts", F.lit(":0;"))).otherwise("x")
+    return _events(spark, sf_dir).select(
+        "history_id", "entry_id", F.concat(head, "command").alias("raw"), F.when(good, F.col("ts")).alias("ts"), F.when(good, F.col("command")).alias("command")
+    )
 
 
 def exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(
-        "history_id", F.col("entry_id").alias("line_no"), F.col("ts").alias("ts_raw"), F.col("code").alias("exit_code")
+        "history_id",
+        F.col("entry_id").alias("line_no"),
+        F.when(F.col("fraction"), F.concat("ts", F.lit(".25"))).otherwise(F.col("ts")).alias("ts_raw"),
+        F.col("code").alias("exit_code"),
     )

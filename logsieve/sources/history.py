@@ -124,12 +124,11 @@ RUN = (
 )
 
 
-def parse_run_log(log: DataFrame) -> DataFrame:
-    """(line_no, line) of a run log -> one row per run; lines that aren't JSON objects are passed over."""
+def parse_run_log(log: DataFrame, *more: str) -> DataFrame:
+    """(line_no, line, ``more`` columns) of run logs -> one row per run; lines that aren't JSON objects are passed over."""
     run = F.from_json("line", RUN, {"mode": "PERMISSIVE"})
-    return log.where(F.col("line").rlike("^\\s*\\{")).select("line_no", run.alias("run")).where(
-        "run.timestamp is not null"
-    ).select("line_no", "run.*")
+    objects = log.where(F.col("line").rlike("^\\s*\\{")).select(*more, "line_no", run.alias("run"))
+    return objects.where("run.timestamp is not null").select(*more, "line_no", "run.*")
 
 
 def read_run_log(spark: SparkSession, path: str, last: int = 5) -> DataFrame:
@@ -137,7 +136,7 @@ def read_run_log(spark: SparkSession, path: str, last: int = 5) -> DataFrame:
     runs = parse_run_log(lines(spark, path)).orderBy(F.desc("line_no")).limit(last)
     counts = F.array_sort(
         F.map_entries("reason_counts"),
-        lambda a, b: F.when(a["value"] != b["value"], (b["value"] - a["value"]).cast("int")).otherwise(
+        lambda a, b: F.when(a["value"] != b["value"], F.when(a["value"] > b["value"], -1).otherwise(1)).otherwise(
             F.when(a["key"] < b["key"], -1).otherwise(1)
         ),
     )

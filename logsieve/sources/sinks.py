@@ -30,15 +30,27 @@ def write_histories(kept: DataFrame, path: str) -> None:
     rows.select("history_id", F.col("raw").alias("value")).write.mode("errorifexists").partitionBy("history_id").text(path)
 
 
-def run_row(found: DataFrame, total: int, settings: Settings, dry_run: bool, at: datetime) -> DataFrame:
-    """One run as a row of the run log; commands that hold secrets are hidden."""
-    counts = found.groupBy("reason").agg(F.count("*").alias("n"))
-    counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reason_counts"))
-    rows = redacted(found).agg(
+def line_totals(entries: DataFrame) -> DataFrame:
+    """(history_id, total_lines)"""
+    return entries.groupBy("history_id").agg(F.count("*").alias("total_lines"))
+
+
+def run_rows(found: DataFrame, totals: DataFrame, settings: Settings, dry_run: bool, at: datetime) -> DataFrame:
+    """A row of the run log for each history of ``totals`` (history_id, total_lines); commands that hold secrets are hidden.
+
+    A row holds its history's removals, as the run log's lines do; histories do not meet.
+    """
+    counts = found.groupBy("history_id", "reason").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("history_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reason_counts")
+    )
+    rows = redacted(found).groupBy("history_id").agg(
         F.count("*").alias("removed_count"),
         F.array_sort(F.collect_list(F.struct("line", "reason", "command"))).alias("removals"),
     )
-    return rows.crossJoin(F.broadcast(counts)).select(
+    runs = totals.join(rows, "history_id", "left").join(counts, "history_id", "left")
+    return runs.select(
+        "history_id",
         F.lit(at.strftime("%Y-%m-%dT%H:%M:%SZ")).alias("timestamp"),
         F.lit(dry_run).alias("dry_run"),
         F.struct(
@@ -46,15 +58,22 @@ def run_row(found: DataFrame, total: int, settings: Settings, dry_run: bool, at:
             F.lit(settings.rare_threshold).alias("rare_threshold"),
             F.lit(settings.remove_rare).alias("remove_rare"),
         ).alias("settings"),
-        F.lit(total).cast("bigint").alias("total_lines"),
-        "removed_count",
-        "reason_counts",
-        "removals",
+        "total_lines",
+        F.coalesce("removed_count", F.lit(0)).alias("removed_count"),
+        F.coalesce("reason_counts", F.create_map().cast("map<string,bigint>")).alias("reason_counts"),
+        F.coalesce("removals", F.array().cast(rows.schema["removals"].dataType)).alias("removals"),
     )
 
 
-def run_json(run: DataFrame) -> DataFrame:
-    return run.select(F.to_json(F.struct(*run.columns)).alias("value"))
+def run_json(runs: DataFrame) -> DataFrame:
+    """(history_id, value): each run as a JSON line."""
+    fields = [c for c in runs.columns if c != "history_id"]
+    return runs.select("history_id", F.to_json(F.struct(*fields)).alias("value"))
+
+
+def write_runs(runs: DataFrame, path: str) -> None:
+    """Append run logs, a folder for each history."""
+    run_json(runs).write.mode("append").partitionBy("history_id").text(path)
 
 
 def append_run(path: str | os.PathLike, line: str, max_bytes: int = LOG_MAX_BYTES) -> None:
