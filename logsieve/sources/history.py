@@ -31,19 +31,59 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def lines_in_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``lines`` of files of any size, with the block of the file that a line begins in; ``fold`` takes one task for each.
+
+    Blocks are the reader's splits. ``line_no`` rises with the place in the file, but has gaps. A byte
+    order mark at a file's start is not kept.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("history_id"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.expr("make_valid_utf8(value)").alias("line"),
+    )
+    # a block has no more lines than bytes, so its numbers end before those of the next
+    first = F.min("at").over(Window.partitionBy("history_id", "block"))
+    return rows.select("history_id", "block", (F.col("block") + F.col("at") - first).alias("line_no"), "line")
+
+
+def _begins_in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with entry_id and last, worked out within blocks and from one summary row of each."""
+    ends = rows.groupBy("history_id", "block").agg(
+        F.count_if(~F.col("goes_on")).alias("closed"), F.max_by("goes_on", "line_no").alias("end")
+    )
+    order = Window.partitionBy("history_id").orderBy("block")
+    # a line begins an entry where the line before it does not go on
+    opens = F.coalesce(~F.lag("end").over(order), F.lit(True))
+    ends = ends.withColumns({"opens": opens, "final": F.lead("block").over(order).isNull()})
+    here = F.col("closed") + F.col("opens").cast("bigint") - (~F.col("end")).cast("bigint")
+    before = F.coalesce(F.sum(here).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("history_id", "block", "opens", "final", before.alias("before"))
+    within = Window.partitionBy("history_id", "block").orderBy("line_no")
+    rows = rows.join(ends, ["history_id", "block"])
+    begins = F.coalesce(~F.lag("goes_on").over(within), F.col("opens"))
+    rows = rows.withColumns({"begins": begins, "last": F.lead("line_no").over(within).isNull() & F.col("final")})
+    return rows.withColumn("entry_id", F.col("before") + F.sum(F.col("begins").cast("bigint")).over(within) - 1)
+
+
 def fold(physical: DataFrame) -> DataFrame:
     """Physical lines -> (history_id, entry_id, raw, text).
 
     A line that ends in an odd run of backslashes goes on in the next one. ``raw``
-    keeps the backslash, ``text`` only the line feed.
+    keeps the backslash, ``text`` only the line feed. Lines with a ``block`` are folded block by
+    block, others history by history.
     """
-    order = Window.partitionBy("history_id").orderBy("line_no")
     goes_on = F.length(F.regexp_extract("line", "(\\\\*)\\z", 1)) % 2 == 1
     rows = physical.withColumn("goes_on", goes_on)
-    begins = F.coalesce(~F.lag("goes_on").over(order), F.lit(True))
-    last = F.lead("line_no").over(order).isNull()
-    rows = rows.withColumns({"begins": begins, "last": last})
-    rows = rows.withColumn("entry_id", F.sum(F.col("begins").cast("bigint")).over(order) - 1)
+    if "block" in physical.columns:
+        rows = _begins_in_blocks(rows)
+    else:
+        order = Window.partitionBy("history_id").orderBy("line_no")
+        begins = F.coalesce(~F.lag("goes_on").over(order), F.lit(True))
+        rows = rows.withColumns({"begins": begins, "last": F.lead("line_no").over(order).isNull()})
+        rows = rows.withColumn("entry_id", F.sum(F.col("begins").cast("bigint")).over(order) - 1)
     piece = F.struct(
         "line_no",
         F.col("line").alias("raw"),
@@ -70,9 +110,12 @@ def parse(folded: DataFrame) -> DataFrame:
     return folded.select("history_id", "entry_id", "raw", ts.alias("ts"), command.alias("command"))
 
 
-def read_history(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Entries of command logs; malformed lines are kept with null ts and command."""
-    return parse(fold(lines(spark, path)))
+def read_history(spark: SparkSession, path: str | list[str], blocks: bool = False) -> DataFrame:
+    """Entries of command logs; malformed lines are kept with null ts and command.
+
+    With ``blocks`` a file is read and folded by its blocks, so it may be of any size.
+    """
+    return parse(fold((lines_in_blocks if blocks else lines)(spark, path)))
 
 
 def parse_exits(physical: DataFrame) -> DataFrame:

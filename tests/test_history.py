@@ -34,6 +34,26 @@ def test_folding(spark, n):
     assert [r.command for r in read(spark, b": 5:0;a" + b"\\" * n)] == [f"a{tail}"]
 
 
+@pytest.mark.parametrize("size", [16, 40, 1 << 20])
+def test_blocks_fold_like_whole_files(spark, tmp_path, size):
+    """Blocks that end inside entries, lines and runs of backslashes."""
+    import random
+
+    draw = random.Random(size)
+    for name in ("a", "b"):
+        parts = [f": {i}:0;run {'x' * draw.randrange(9)}" + "\\" * draw.choice([0, 0, 1, 2, 3]) for i in range(60)]
+        (tmp_path / name).write_text("\n".join(parts) + draw.choice(["", "\n"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        by_blocks = history.read_history(spark, str(tmp_path), blocks=True)
+        found = [(r.history_id.rpartition("/")[2], *r[1:]) for r in by_blocks.orderBy("history_id", "entry_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = history.read_history(spark, str(tmp_path)).orderBy("history_id", "entry_id").collect()
+    assert found == [(r.history_id.rpartition("/")[2], *r[1:]) for r in whole]
+
+
 def test_invalid_bytes_and_carriage_return(spark):
     rows = read(spark, b": 1:0;a\xe2\x82b\r\n")
     assert rows[0].command == "a�b"
