@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
     Where the setting is absent (a local session, as in tests) one temporary
-    folder is made for the session and remembered.
+    folder is made for the session and remembered; it goes when the process ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -22,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="logsieve-")
-        spark._logsieve_dir = found
+        folder = tempfile.mkdtemp(prefix="logsieve-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = spark._logsieve_dir = "file://" + folder
     return found if ":/" in found else "file://" + found
 
 
