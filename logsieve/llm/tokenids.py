@@ -24,7 +24,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -58,17 +57,12 @@ class Packing:
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _BLOCK = 256
-_KEPT, _LONGEST = 300_000, 64
-_MIXED = re.compile(r"\s\s")
-_SPACED = re.compile(r" \s|\s ")
 
 
 class Tokenizer:
-    """Byte-pair encoding with a memory of words.
+    """Byte-pair encoding of whole texts.
 
-    A single blank between other characters always begins a piece of the pattern
-    and a single line feed is always one, so the words between them are encoded
-    alone; a text with runs of white space around blanks is encoded whole.
+    Memories of words' ids were measured and left out: with many rare words they are slower.
     """
 
     def __init__(self, vocabulary: str):
@@ -79,41 +73,10 @@ class Tokenizer:
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids are written with 16 bits; the vocabulary has larger ones")
         self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.after_blank: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
-        self.line = self.whole("\n")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.own.encode_ordinary(text), dtype=np.uint16).tobytes()
-
-    def _word(self, word: str, blank: bool) -> bytes:
-        kept = self.after_blank if blank else self.alone
-        found = kept.get(word)
-        if found is None:
-            if "\n" in word and not _MIXED.search(word) and word[0] != "\n" and word[-1] != "\n":
-                first, *rest = word.split("\n")
-                parts = [self._word(first, blank)]
-                for x in rest:
-                    parts += [self.line, self._word(x, False)]
-                return b"".join(parts)
-            found = self.whole(" " + word if blank else word)
-            if len(word) <= _LONGEST:
-                if len(kept) > _KEPT:
-                    kept.clear()
-                kept[word] = found
-        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as 16-bit little-endian numbers."""
-        if _SPACED.search(text):
-            return self.whole(text)
-        first, *words = text.split(" ")
-        found = list(map(self.after_blank.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self._word(words[i], True)
-        return (self._word(first, False) if first else b"") + b"".join(found)
+        return np.array(self.own.encode_ordinary(text), dtype=np.uint16).tobytes()
 
 
 def tokenizer(vocabulary: str) -> Tokenizer:
