@@ -174,11 +174,11 @@ def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log written as text, a file for each history, scanned, folded and parsed again."""
+    """The log written as text, a folder for each history, scanned, folded and parsed again."""
     path = fresh_path(spark, "log")
     sinks.write_histories(d.entries(spark, sf_dir), path)
-    rows = history.read_history(spark, f"{path}/*", blocks=True)
-    name = F.regexp_extract("history_id", "history_id=([^/]*)/", 1)
+    rows = history.read_history(spark, f"{path}/*", folders=True)
+    name = F.regexp_extract("history_id", "history_id=([^/]*)$", 1)
     return rows.select(name.alias("history_id"), "entry_id", "raw", "ts", "command")
 
 

@@ -31,11 +31,12 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def lines_in_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def lines_in_blocks(spark: SparkSession, path: str | list[str], folders: bool = False) -> DataFrame:
     """``lines`` of files of any size, with the block of the file that a line begins in; ``fold`` takes one task for each.
 
     Blocks are the reader's splits. ``line_no`` rises with the place in the file, but has gaps. A byte
-    order mark at a file's start is not kept.
+    order mark at a file's start is not kept. With ``folders`` a folder is one log: its files follow one another
+    in the order in which a Spark write numbered them, and ``history_id`` is the folder's path.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
     rows = raw.select(
@@ -46,7 +47,13 @@ def lines_in_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     # a block has no more lines than bytes, so its numbers end before those of the next
     first = F.min("at").over(Window.partitionBy("history_id", "block"))
-    return rows.select("history_id", "block", (F.col("block") + F.col("at") - first).alias("line_no"), "line")
+    rows = rows.select("history_id", "block", (F.col("block") + F.col("at") - first).alias("line_no"), "line")
+    if not folders:
+        return rows
+    # names of one write differ in length only where numbers have more digits
+    folder, file = F.regexp_extract("history_id", "^(.*)/", 1), F.regexp_extract("history_id", "[^/]*$", 0)
+    place = F.struct(F.length(file).alias("digits"), file.alias("file"), F.col("block").alias("start"))
+    return rows.select(folder.alias("history_id"), place.alias("block"), "line_no", "line")
 
 
 def _begins_in_blocks(rows: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def fold(physical: DataFrame) -> DataFrame:
         rows = rows.withColumns({"begins": begins, "last": F.lead("line_no").over(order).isNull()})
         rows = rows.withColumn("entry_id", F.sum(F.col("begins").cast("bigint")).over(order) - 1)
     piece = F.struct(
-        "line_no",
+        *(c for c in ("block", "line_no") if c in physical.columns),
         F.col("line").alias("raw"),
         F.when(F.col("goes_on") & ~F.col("last"), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line")).alias("text"),
     )
@@ -110,12 +117,14 @@ def parse(folded: DataFrame) -> DataFrame:
     return folded.select("history_id", "entry_id", "raw", ts.alias("ts"), command.alias("command"))
 
 
-def read_history(spark: SparkSession, path: str | list[str], blocks: bool = False) -> DataFrame:
+def read_history(spark: SparkSession, path: str | list[str], blocks: bool = False, folders: bool = False) -> DataFrame:
     """Entries of command logs; malformed lines are kept with null ts and command.
 
-    With ``blocks`` a file is read and folded by its blocks, so it may be of any size.
+    With ``blocks`` a file is read and folded by its blocks, so it may be of any size. With ``folders``, which
+    implies blocks, each folder is one log in several files, as ``sinks.write_histories`` writes them.
     """
-    return parse(fold((lines_in_blocks if blocks else lines)(spark, path)))
+    physical = lines_in_blocks(spark, path, folders) if blocks or folders else lines(spark, path)
+    return parse(fold(physical))
 
 
 def parse_exits(physical: DataFrame) -> DataFrame:

@@ -25,7 +25,10 @@ def append_exits(exits: DataFrame, path: str) -> None:
 
 
 def write_histories(kept: DataFrame, path: str) -> None:
-    """Entries' raw lines, a folder for each history, in order within it."""
+    """Entries' raw lines, a folder for each history, in order within it; its files follow one another by number.
+
+    ``read_history(..., folders=True)`` reads them.
+    """
     rows = kept.repartitionByRange("history_id", "entry_id").sortWithinPartitions("history_id", "entry_id")
     rows.select("history_id", F.col("raw").alias("value")).write.mode("errorifexists").partitionBy("history_id").text(path)
 

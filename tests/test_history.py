@@ -5,7 +5,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from logsieve.sources import history
+from logsieve.plans import registry
+from logsieve.sources import history, sinks
 
 
 def read(spark, data: bytes):
@@ -54,6 +55,28 @@ def test_blocks_fold_like_whole_files(spark, tmp_path, size):
     assert found == [(r.history_id.rpartition("/")[2], *r[1:]) for r in whole]
 
 
+@pytest.mark.parametrize("size", [64, 1 << 20])
+def test_histories_in_several_files(spark, tmp_path, size):
+    """A history that a write splits over files is one log: its entries are numbered through, and fold across blocks."""
+    rows = [(h, i, f": {i}:0;run {i}" + ("\\\nmore" if i % 3 == 0 else "")) for h in ("a", "b/c") for i in range(150)]
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": str(size)}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        sinks.write_histories(spark.createDataFrame(rows, "history_id string, entry_id long, raw string"), str(tmp_path / "out"))
+        found = history.read_history(spark, f"{tmp_path}/out/*", folders=True).orderBy("history_id", "entry_id").collect()
+        table = registry.queries()["log_roundtrip"](spark, "/root/testdata/sf0.001")
+        ids = sorted((r.history_id, r.entry_id) for r in table.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(len(list(p.glob("*.txt"))) for p in (tmp_path / "out").glob("history_id=*")) > 1
+    assert [(r.entry_id, r.raw) for r in found] == [(i, raw) for _, i, raw in rows]
+    assert len({r.history_id for r in found}) == 2
+    assert len(set(ids)) == len(ids)
+
+
 def test_invalid_bytes_and_carriage_return(spark):
     rows = read(spark, b": 1:0;a\xe2\x82b\r\n")
     assert rows[0].command == "a�b"
