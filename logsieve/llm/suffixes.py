@@ -21,8 +21,8 @@ corpus.
 
 *Where things are.* The input is written once with a key for each row (the writing
 partition and the row in it), and all passes read that copy; texts are never shuffled. What a
-partition's pass over its texts needs is written for each partition in the shared
-folder and read by the tasks that meet its rows. A bucket of over ``LIMIT`` distinct records
+pass over a partition's texts needs is written in the shared folder, for each ``2 ** _PIECE`` texts
+of a partition, and read by the tasks that meet their rows. A bucket of over ``LIMIT`` distinct records
 is not gathered in a task: its windows are counted by 128-bit digests.
 
 A null or empty text has no bytes. Texts below ``LENGTH`` bytes keep all. Repeated
@@ -51,7 +51,8 @@ LIMIT = 32_768
 #: Bytes of text that are worked on at a time: in the pass over all texts, and in a sort.
 MOST, BLOCK = 1 << 20, 1 << 20
 _SPAN = LENGTH - GRAM + 1
-_ROW = 33
+#: Keys of texts that agree above so many bits have their rows in one file of a ``Side``.
+_PIECE = 16
 _POS = np.uint64((1 << 24) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -140,23 +141,24 @@ def _emit_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Side:
-    """Rows by the key ``at`` of a text, written by Spark for each partition that wrote texts."""
+    """Rows by the key ``at`` of a text, written by Spark for each piece of a partition that wrote texts."""
 
     def __init__(self, rows: DataFrame, name: str):
         self.uri = fresh_path(rows.sparkSession, name)
         wrote(self.uri)
-        part = F.shiftright("at", _ROW).cast("int").alias("part")
-        # one file for each partition; its size follows that of the partition
+        part = F.shiftright("at", _PIECE).alias("part")
+        # one file for each piece; its size follows that of the piece
         rows.select(part, "*").repartition("part").sortWithinPartitions("part", "at").write.option(
             "compression", "zstd"
         ).partitionBy("part").parquet(self.uri)
 
 
 class _Places:
-    """A task's view of a ``Side``; the rows of one partition are held at a time."""
+    """A task's view of some columns of a ``Side``; the rows of one piece are held at a time."""
 
-    def __init__(self, side: Side):
-        self.uri, self.part, self.rows, self.by_key = side.uri, None, None, {}
+    def __init__(self, side: Side, *columns: str):
+        self.uri, self.names, self.part = side.uri, columns, None
+        self.at, self.columns = np.zeros(0, dtype=np.int64), {}
 
     def _load(self, part: int) -> None:
         store = Store(f"{self.uri}/part={part}")
@@ -164,37 +166,42 @@ class _Places:
             names = [n for n in store.names() if n.endswith(".parquet")]
         except FileNotFoundError:
             names = []
-        self.part, self.by_key = part, {}
-        self.rows = pa.concat_tables([pq.read_table(store.open(n)) for n in names]) if names else None
-        if self.rows is not None:
-            at = self.rows.column("at").to_numpy()
-            order = np.argsort(at, kind="stable")
-            keys, heads = np.unique(at[order], return_index=True)
-            self.by_key = {k: order[i:j] for k, i, j in zip(keys.tolist(), heads, [*heads[1:], len(order)], strict=True)}
-
-    def of(self, at: int) -> np.ndarray | None:
-        """The places of a text's rows in ``rows``."""
-        if at >> _ROW != self.part:
-            self._load(at >> _ROW)
-        return self.by_key.get(at)
+        self.part, self.at, self.columns = part, np.zeros(0, dtype=np.int64), {}
+        if not names:
+            return
+        # arrays once for a piece: a text's rows are a view of them, whatever the piece holds
+        rows = pa.concat_tables([pq.read_table(store.open(n), columns=["at", *self.names]) for n in names])
+        at = rows.column("at").to_numpy()
+        order = None if np.all(at[:-1] <= at[1:]) else np.argsort(at, kind="stable")
+        self.at = at if order is None else at[order]
+        for c in self.names:
+            values = rows.column(c).to_numpy()
+            self.columns[c] = values if order is None else values[order]
+
+    def of(self, at: int) -> list[np.ndarray] | None:
+        """The columns of a text's rows; none if it has no rows."""
+        if at >> _PIECE != self.part:
+            self._load(at >> _PIECE)
+        i, j = np.searchsorted(self.at, [at, at + 1]).tolist()
+        return [self.columns[c][i:j] for c in self.names] if i < j else None
 
 
 def _cut(side: Side):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(side)
+        places = _Places(side, "gram", "whole", "lo", "hi", "p")
         for batch in slices(batches, 250):
-            parts = []
+            parts, found = [], []
             for at, text in zip(batch.column("at").to_pylist(), batch.column("text"), strict=True):
                 mine = places.of(at)
                 if mine is None:
                     continue
-                picked, data = places.rows.take(pa.array(mine)), text.as_buffer().to_pybytes()
-                p, lo, hi = (picked.column(c).to_pylist() for c in ("p", "lo", "hi"))
-                found = [data[a + x : a + y + LENGTH] for a, x, y in zip(p, lo, hi, strict=True)]
-                columns = [picked.column(c).combine_chunks() for c in ("gram", "whole", "lo", "hi")]
-                parts.append(pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=["gram", "whole", "lo", "hi", "text"]))
+                data = text.as_buffer().to_pybytes()
+                lo, hi, p = (x.tolist() for x in mine[2:])
+                found += [data[a + x : a + y + LENGTH] for a, x, y in zip(p, lo, hi, strict=True)]
+                parts.append(mine[:4])
             if parts:
-                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+                columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=["gram", "whole", "lo", "hi", "text"])
 
     return run
 
@@ -366,7 +373,7 @@ def _digest_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _finish(side: Side, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(side)
+        places = _Places(side, "begin", "end")
         for batch in slices(batches, 250):
             out = []
             for at, text in zip(batch.column("at").to_pylist(), text_bytes(batch.column("text")), strict=True):
@@ -374,7 +381,7 @@ def _finish(side: Side, columns: list[str]):
                 if mine is None:
                     out.append((len(text), text, runs))
                     continue
-                begin, end = (places.rows.column(c).to_numpy()[mine] for c in ("begin", "end"))
+                begin, end = mine
                 marks = np.zeros(len(text) + 1, dtype=np.int32)
                 np.add.at(marks, begin, 1)
                 np.add.at(marks, end, -1)

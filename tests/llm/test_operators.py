@@ -544,3 +544,30 @@ def test_empty_tables(empty, benchmark):
 def test_registry_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries())
     assert numbers == list(range(1, 11))
+
+
+def test_finishing_takes_time_by_text_not_by_partition(spark):
+    """A text's rows are found without touching the other rows of its partition; keys of several pieces too."""
+    import time
+
+    import pyarrow as pa
+
+    text = bytes(range(32, 127)) * 4
+    schema = pa.schema([("at", pa.int64()), ("text", pa.binary())])
+
+    def seconds(n: int) -> float:
+        keys = [*range(n - 2), (1 << 16) + 5, (3 << 33) + 7]
+        rows = spark.range(n * 100).select((F.col("id") / 100).cast("long").alias("k"), (F.col("id") % 100).alias("begin"))
+        at = F.when(F.col("k") == n - 2, keys[-2]).when(F.col("k") == n - 1, keys[-1]).otherwise(F.col("k"))
+        side = suffixes.Side(rows.select(at.alias("at"), "begin", (F.col("begin") + 200).alias("end")), "timed")
+        batch = pa.record_batch([pa.array([*keys, 9 << 33]), pa.array([text] * (n + 1))], schema=schema)
+        began = time.perf_counter()
+        out = list(suffixes._finish(side, [])(iter([batch])))
+        took = time.perf_counter() - began
+        removed = np.concatenate([[len(k) for k in b.column("kept_bytes").to_pylist()] for b in out])
+        assert removed.tolist() == [len(text) - 299] * n + [len(text)]
+        return took
+
+    seconds(50)
+    # 16 times the texts: far from 256 times the time
+    assert seconds(8000) < 50 * seconds(500)
